@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from nodetide.llm import byte_bpe, quality_rules, simhash, source_mix
+from nodetide.llm import byte_bpe, quality_rules, simhash, source_mix, suffix_dedup, window_dedup
 from nodetide.llm.common import table
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
+def op6_window_dedup(spark, sf_dir):
+    return window_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op3_source_mix(spark, sf_dir):
     return source_mix.mix(table(spark, sf_dir, "documents"))
 
@@ -25,5 +33,5 @@ def op8_byte_bpe(spark, sf_dir, vocabulary: str | None = None):
     return byte_bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op3_source_mix, op4_simhash, op5_quality_rules, op8_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_source_mix, op4_simhash, op5_quality_rules, op6_window_dedup, op8_byte_bpe)}
 ORACLE_SQL = {"op3_source_mix": source_mix.oracle_sql(), "op5_quality_rules": quality_rules.ORACLE_SQL}
