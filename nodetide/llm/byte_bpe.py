@@ -19,10 +19,10 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Pre-tokens that a worker remembers, with their ids; it starts anew beyond.
-MEMORY = 300_000
-#: Longer pre-tokens aren't remembered.
-REMEMBER_CHARS = 64
+#: Pre-tokens that a worker remembers with their ids, in each of two generations.
+MEMORY = 150_000
+#: Bytes of text that a worker encodes at a time, one text at least.
+SLICE_BYTES = 1 << 20
 
 
 @lru_cache(2)
@@ -87,25 +87,45 @@ class Codec:
         self.table = {b: c for b, c in enumerate(byte_characters())}
         back = {c: b for b, c in self.table.items()}
         self.pieces = [bytes(back[c] for c in self.model.IdToPiece(i + 1)) for i in range(len(self.tokens))]
+        self.names = [str(i) for i in range(len(self.tokens))]
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
-    def _pretoken(self, s: str) -> bytes:
+    def _learn(self, new: list[str]) -> None:
+        """Encodes pre-tokens in one call and remembers their ids; the least recently learnt half of all goes when memory is full."""
         import numpy as np
 
-        raw = s.encode("utf-8", "replace")
-        whole = self.rank.get(raw)
-        ids = [whole] if whole is not None else [i - 1 for i in self.model.EncodeAsIds(raw.decode("latin-1").translate(self.table))]
-        out = np.array(ids, "<i4").tobytes()
-        if len(s) <= REMEMBER_CHARS:
-            if len(self.known) >= MEMORY:
-                self.known.clear()
-            self.known[s] = out
-        return out
+        if len(self.known) + len(new) > MEMORY:
+            self.before, self.known = self.known, {}
+        ask = []
+        for s in new:
+            if (old := self.before.get(s)) is not None:
+                self.known[s] = old
+                continue
+            raw = s.encode("utf-8", "replace")
+            whole = self.rank.get(raw)
+            if whole is None:
+                ask.append((s, raw.decode("latin-1").translate(self.table)))
+            else:
+                self.known[s] = whole.to_bytes(4, "little")
+        for (s, _), ids in zip(ask, self.model.EncodeAsIds([x for _, x in ask], num_threads=1) if ask else [], strict=True):
+            self.known[s] = (np.array(ids, "<i4") - 1).tobytes()
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as packed little-endian 32-bit integers."""
+        parts = [self.split(t or "") for t in texts]
+        found = [list(map(self.known.get, p)) for p in parts]
+        open_ = [i for i, f in enumerate(found) if None in f]
+        if open_:
+            self._learn(list(dict.fromkeys(s for i in open_ for s, f in zip(parts[i], found[i], strict=True) if f is None)))
+            # What was known may have gone to `before` meanwhile.
+            look = lambda s: self.known.get(s) or self.before[s]
+            for i in open_:
+                found[i] = [look(s) if f is None else f for s, f in zip(parts[i], found[i], strict=True)]
+        return list(map(b"".join, found))
 
     def encode(self, text: str | None) -> bytes:
-        """The ids as packed little-endian 32-bit integers."""
-        known, make = self.known, self._pretoken
-        return b"".join([known.get(s) or make(s) for s in self.split(text or "")])
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
@@ -128,9 +148,9 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", to: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
-            # A slice of a few MB at a time bounds what a worker holds.
+            # A slice at a time bounds what a worker holds.
             for part in _slices(batch, text):
-                packed = [c.encode(t) for t in part.column(text).to_pylist()]
+                packed = c.encode_all(part.column(text).to_pylist())
                 offsets = pa.array([0, *_running(len(p) // 4 for p in packed)], pa.int32())
                 values = pa.Array.from_buffers(pa.int32(), sum(map(len, packed)) // 4, [None, pa.py_buffer(b"".join(packed))])
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.ListArray.from_arrays(offsets, values)], [*keep, to])
@@ -145,7 +165,7 @@ def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids", to: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
-            out = [None if x is None else c.decode(x) for x in batch.column(ids).to_pylist()]
+            out = [None if x is None else c.decode(x) for x in _lists(batch.column(ids))]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(out, pa.binary())], [*keep, to])
 
     return rows.mapInArrow(run, _schema_with(rows.select(*keep), f"`{to}` binary"))
@@ -153,19 +173,29 @@ def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids", to: str =
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256: texts are encoded, and the ids alone decoded again."""
-    coded = decode(encode(docs, path, pattern, keep=["doc_id"]), path, pattern)
+    coded = encode(docs, path, pattern, keep=["doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path, pattern)
+        sha = lambda raw: hashlib.sha256(raw).hexdigest()
         for b in batches:
-            ids, raw = b.column("ids").to_pylist(), b.column("decoded").to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids]), pa.array([hashlib.sha256(x).hexdigest() for x in raw])],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            n, ids_sha, text_sha = [], [], []
+            for ids in _lists(b.column("ids")):
+                n.append(len(ids))
+                ids_sha.append(sha(",".join(map(c.names.__getitem__, ids)).encode()))
+                text_sha.append(sha(c.decode(ids)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return coded.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def _lists(column: pa.ListArray) -> Iterator[list[int] | None]:
+    """The lists of a column one after the other, so that one at a time is a Python list."""
+    values, offsets = column.values, column.offsets.to_pylist()
+    for i, valid in enumerate(column.is_valid().to_pylist()):
+        yield values.slice(offsets[i], offsets[i + 1] - offsets[i]).to_numpy(zero_copy_only=False).tolist() if valid else None
+
+
 def _running(counts) -> Iterator[int]:
     total = 0
     for n in counts:
@@ -173,7 +203,7 @@ def _running(counts) -> Iterator[int]:
         yield total
 
 
-def _slices(batch: pa.RecordBatch, text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about `most` bytes of text each, one row at least."""
     begin, size = 0, 0
     col = batch.column(text)
