@@ -1,0 +1,3 @@
+"""Parcel time series and windowed connectivity on Spark."""
+
+__version__ = "0.1.0"
