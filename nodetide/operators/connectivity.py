@@ -85,23 +85,23 @@ def pearson_long(samples: DataFrame, keys: list[str], frame: str = "t", node: st
     return pairs.groupBy(*keys, "i", "j").agg(F.count(F.lit(1)).alias("n"), safe_pearson(F.col("x"), F.col("y")).alias("r")).withColumn("r", clip_r(F.col("r")))
 
 
-def pearson_upper(x: np.ndarray) -> np.ndarray:
-    """The row-major upper triangle of the correlation matrix of the columns of x, as 32-bit floats; NaN where undefined."""
+def pearson_upper(x: np.ndarray, kind=np.float32) -> np.ndarray:
+    """The row-major upper triangle of the correlation matrix of the columns of x, computed in double; NaN where undefined."""
     n, p = x.shape
     i, j = np.triu_indices(p, 1)
     if n < 2:
-        return np.full(len(i), np.nan, np.float32)
+        return np.full(len(i), np.nan, kind)
     centred = x - x[0]  # exact zeros for constant columns
     centred = centred - centred.mean(0)
     gram = centred.T @ centred
     scale = np.sqrt(np.diag(gram))
     with np.errstate(invalid="ignore", divide="ignore"):
         r = gram / np.outer(scale, scale)
-    return np.clip(r[i, j], -1, 1).astype(np.float32)
+    return np.clip(r[i, j], -1, 1).astype(kind)
 
 
-def pearson_packed(windowed: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
-    """windowed(keys, t, good_frame, value array) -> keys and edges (array<float>), from good frames in time order.
+def pearson_packed(windowed: DataFrame, keys: list[str], value: str = "v", double: bool = False) -> DataFrame:
+    """windowed(keys, t, good_frame, value array) -> keys and edges (array<float>, or double), from good frames in time order.
 
     A group is one window of one run: its size is bounded by the window, not by the data."""
     d = windowed.filter("good_frame").select(*keys, "t", value)
@@ -111,12 +111,13 @@ def pearson_packed(windowed: DataFrame, keys: list[str], value: str = "v") -> Da
         order = np.argsort(table.column("t").to_numpy(), kind="stable")
         x = np.asarray(table.column(value).combine_chunks().flatten(), np.float64).reshape(table.num_rows, -1)[order]
         head = table.slice(0, 1)
-        return pa.table([*(head.column(k) for k in keys), pa.array([pearson_upper(x)], pa.list_(pa.float32()))], names=[*keys, "edges"])
+        return pa.table([*(head.column(k) for k in keys), pa.array([pearson_upper(x, kind)], pa.list_(pa.from_numpy_dtype(kind)))], names=[*keys, "edges"])
 
-    return d.groupBy(*keys).applyInArrow(kernel, f"{kinds}, edges array<float>")
+    kind = np.dtype(np.float64 if double else np.float32)
+    return d.groupBy(*keys).applyInArrow(kernel, f"{kinds}, edges array<{'double' if double else 'float'}>")
 
 
-def dfc(activation: DataFrame, spans: DataFrame, overlaps: int = 5, drop_incomplete: bool = True, least_frames: int = 2) -> DataFrame:
+def dfc(activation: DataFrame, spans: DataFrame, overlaps: int = 5, drop_incomplete: bool = True, least_frames: int = 2, double: bool = False) -> DataFrame:
     """Windowed connectivity of all runs and window sizes in one plan.
 
     activation: run_key and other key columns, t, stimulus_time_s, v (array) and optional good_frame, run_idx, clip_idx, time_s.
@@ -127,7 +128,7 @@ def dfc(activation: DataFrame, spans: DataFrame, overlaps: int = 5, drop_incompl
     windowed = assign_windows(frames.join(spans, "task"), overlaps=overlaps, drop_incomplete=drop_incomplete).withColumnsRenamed({"start_s": "start_w", "end_s": "end_w"})
     flags = quality(windowed.withColumn("n_nodes", F.size("v")), keys, F.col("n_nodes"), least_frames)
     join_keys = ["run_key", "window_s", "window_id"] + (["atlas"] if "atlas" in entities else [])
-    edges = pearson_packed(windowed, join_keys)
+    edges = pearson_packed(windowed, join_keys, double=double)
     return (
         flags.join(edges, join_keys)
         .withColumnsRenamed({"start_w": "stimulus_start_s", "end_w": "stimulus_end_s"})

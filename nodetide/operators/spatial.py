@@ -36,10 +36,10 @@ def label_membership(label_image: DataFrame, nodes: DataFrame) -> DataFrame:
 def within_radius(points: DataFrame, seeds: DataFrame, radius: float) -> DataFrame:
     """points(vox_id, x, y, z) and seeds(seed_idx, node_idx, sx, sy, sz) -> node_idx, seed_idx, vox_id with distance at most radius. Keeps duplicates of a node."""
     cell = lambda c: F.floor(F.col(c) / radius).cast("int")
-    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
     s = seeds
     for axis in "xyz":
-        s = s.withColumn(f"c{axis}", F.explode(near) + cell(f"s{axis}"))
+        c = cell(f"s{axis}")
+        s = s.withColumn(f"c{axis}", F.explode(F.array(c - 1, c, c + 1)))
     p = points.withColumns({f"c{axis}": cell(axis) for axis in "xyz"})
     d2 = sum(((F.col(a) - F.col(f"s{a}")) * (F.col(a) - F.col(f"s{a}")) for a in "xyz"), F.lit(0.0))
     return p.join(s, ["cx", "cy", "cz"]).filter(d2 <= radius * radius).select("node_idx", "seed_idx", "vox_id")

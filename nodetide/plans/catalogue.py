@@ -127,34 +127,34 @@ def _voxels(spark, sf_dir):
 
 def _membership(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    return p.select(F.substring("p_brand", -2, 2).cast("int").alias("node_idx"), F.col("p_partkey").alias("vox_id"))
+    return p.select(F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int").alias("node_idx"), F.col("p_partkey").alias("vox_id"))
 
 
-_VOX = "vox AS (SELECT date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) AS t, l_partkey AS vox_id, l_extendedprice AS v FROM lineitem), mem AS (SELECT CAST(right(p_brand, 2) AS INTEGER) AS node_idx, p_partkey AS vox_id FROM part)"
+_VOX = "vox AS (SELECT date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) AS t, l_partkey AS vox_id, l_extendedprice AS v FROM lineitem), mem AS (SELECT CAST(regexp_extract(p_brand, '[0-9]+$') AS INTEGER) AS node_idx, p_partkey AS vox_id FROM part)"
 
 
-@query(f"WITH {_VOX} SELECT CAST(t AS INTEGER) AS t, node_idx, round(avg(v), 4) AS x, count(*) AS n_voxels FROM vox JOIN mem USING (vox_id) GROUP BY t, node_idx")
+@query(f"WITH {_VOX} SELECT CAST(t AS INTEGER) AS t, node_idx, round(avg(v), 6) AS x, count(*) AS n_voxels FROM vox JOIN mem USING (vox_id) GROUP BY t, node_idx")
 def parcel_mean(spark, sf_dir):
-    return extract.node_means_long(_voxels(spark, sf_dir), _membership(spark, sf_dir)).select("t", "node_idx", F.round("x", 4).alias("x"), "n_voxels")
+    return extract.node_means_long(_voxels(spark, sf_dir), _membership(spark, sf_dir)).select("t", "node_idx", F.round("x", 6).alias("x"), "n_voxels")
 
 
-@query(f"WITH {_VOX}, twice AS (SELECT * FROM mem UNION ALL SELECT * FROM mem WHERE vox_id % 3 = 0) SELECT CAST(t AS INTEGER) AS t, node_idx, round(avg(v), 4) AS x, count(*) AS n_voxels FROM vox JOIN twice USING (vox_id) GROUP BY t, node_idx")
+@query(f"WITH {_VOX}, twice AS (SELECT * FROM mem UNION ALL SELECT * FROM mem WHERE vox_id % 3 = 0) SELECT CAST(t AS INTEGER) AS t, node_idx, round(avg(v), 6) AS x, count(*) AS n_voxels FROM vox JOIN twice USING (vox_id) GROUP BY t, node_idx")
 def parcel_mean_weighted(spark, sf_dir):
     m = _membership(spark, sf_dir)
-    return extract.node_means_long(_voxels(spark, sf_dir), m.unionAll(m.filter("vox_id % 3 = 0"))).select("t", "node_idx", F.round("x", 4).alias("x"), "n_voxels")
+    return extract.node_means_long(_voxels(spark, sf_dir), m.unionAll(m.filter("vox_id % 3 = 0"))).select("t", "node_idx", F.round("x", 6).alias("x"), "n_voxels")
 
 
-@query(f"WITH {_VOX} SELECT CAST(t AS INTEGER) AS t, node_idx, round(avg(v), 4) AS x FROM vox JOIN mem USING (vox_id) WHERE vox_id % 2 = 0 GROUP BY t, node_idx")
+@query(f"WITH {_VOX} SELECT CAST(t AS INTEGER) AS t, node_idx, round(avg(v), 6) AS x FROM vox JOIN mem USING (vox_id) WHERE vox_id % 2 = 0 GROUP BY t, node_idx")
 def mask_restriction(spark, sf_dir):
     mask = table(spark, sf_dir, "part").filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("vox_id"))
-    return extract.node_means_long(extract.in_mask(_voxels(spark, sf_dir), mask), _membership(spark, sf_dir)).select("t", "node_idx", F.round("x", 4).alias("x"))
+    return extract.node_means_long(extract.in_mask(_voxels(spark, sf_dir), mask), _membership(spark, sf_dir)).select("t", "node_idx", F.round("x", 6).alias("x"))
 
 
-@query(f"WITH {_VOX}, m AS (SELECT CAST(t AS INTEGER) AS t, node_idx, avg(v) AS x FROM vox JOIN mem USING (vox_id) GROUP BY t, node_idx) SELECT g.t, CAST(n AS INTEGER) AS node_idx, round(m.x, 1) AS x FROM (SELECT DISTINCT CAST(t AS INTEGER) AS t FROM vox WHERE t < 200) g CROSS JOIN (SELECT unnest(range(0, 60)) AS n) LEFT JOIN m ON m.t = g.t AND m.node_idx = n")
+@query(f"WITH {_VOX}, m AS (SELECT CAST(t AS INTEGER) AS t, node_idx, avg(v) AS x FROM vox JOIN mem USING (vox_id) GROUP BY t, node_idx) SELECT g.t, CAST(n AS INTEGER) AS node_idx, round(m.x::FLOAT::DOUBLE, 2) AS x FROM (SELECT DISTINCT CAST(t AS INTEGER) AS t FROM vox WHERE t < 200) g CROSS JOIN (SELECT unnest(range(0, 60)) AS n) LEFT JOIN m ON m.t = g.t AND m.node_idx = n")
 def empty_parcel(spark, sf_dir):
     v = _voxels(spark, sf_dir).filter("t < 200")
     long = extract.to_long(extract.node_means(v, _membership(spark, sf_dir), 60))
-    return long.select("t", "node_idx", F.round(_null_nan(F.col("x").cast("double")), 1).alias("x"))
+    return long.select("t", "node_idx", F.round(_null_nan(F.col("x").cast("double")), 2).alias("x"))
 
 
 @query("WITH p AS (SELECT vec_id, embedding[1] AS x, embedding[2] AS y, embedding[3] AS z FROM embeddings) SELECT CAST(s.vec_id AS INTEGER) AS node_idx, count(*) AS n_points FROM p JOIN p s ON s.vec_id < 10 AND (p.x::DOUBLE - s.x::DOUBLE) * (p.x::DOUBLE - s.x::DOUBLE) + (p.y::DOUBLE - s.y::DOUBLE) * (p.y::DOUBLE - s.y::DOUBLE) + (p.z::DOUBLE - s.z::DOUBLE) * (p.z::DOUBLE - s.z::DOUBLE) <= 0.15 * 0.15 GROUP BY s.vec_id")
@@ -260,17 +260,17 @@ def dfc_qc(spark, sf_dir):
     return q.select("sub", "window_id", F.col("n_tr_available").cast("int").alias("n_tr_available"), F.col("n_tr_effective").cast("int").alias("n_tr_effective"), F.round(F.col("frac_good_frames").cast("double"), 5).alias("frac_good_frames"), "start_tr", "crosses_run_boundary", "crosses_clip_boundary", "rank_deficient")
 
 
-@query(_pairs_sql((30.0, 120.0), extra="SELECT sub, window_s, window_id, i, j, round(r, 4) AS r FROM r"))
+@query(_pairs_sql((30.0, 120.0), value="x::FLOAT::DOUBLE", extra="SELECT sub, window_s, window_id, i, j, r FROM r"))
 def dfc_packed(spark, sf_dir):
     spans = spark.createDataFrame([("events", w, 720.0, int(w)) for w in (30.0, 120.0)], "task string, window_s double, duration_s double, n_tr_nominal int")
-    out = connectivity.dfc(views.event_frames(spark, sf_dir), spans)
-    return connectivity.unpack(out, 5).select("sub", "window_s", "window_id", "i", "j", F.round(_null_nan(F.col("r").cast("double")), 4).alias("r"))
+    out = connectivity.dfc(views.event_frames(spark, sf_dir), spans, double=True)
+    return connectivity.unpack(out, 5).select("sub", "window_s", "window_id", "i", "j", F.round(_null_nan(F.col("r")), 6).alias("r"))
 
 
-@query(f"WITH e AS (SELECT CAST(label % 2 AS VARCHAR) AS sub, vec_id, CAST(unnest(range(0, 64)) AS INTEGER) AS node, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT l.sub, l.node AS i, r.node AS j, round({_PEARSON.format(x='l.x', y='r.x')}, 4) AS r FROM e l JOIN e r ON l.sub = r.sub AND l.vec_id = r.vec_id AND l.node < r.node GROUP BY ALL")
+@query(f"WITH e AS (SELECT CAST(label % 2 AS VARCHAR) AS sub, vec_id, CAST(unnest(range(0, 64)) AS INTEGER) AS node, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT l.sub, l.node AS i, r.node AS j, {_PEARSON.format(x='l.x', y='r.x')} AS r FROM e l JOIN e r ON l.sub = r.sub AND l.vec_id = r.vec_id AND l.node < r.node GROUP BY ALL")
 def dfc_packed_emb(spark, sf_dir):
-    edges = connectivity.pearson_packed(views.embedding_frames(spark, sf_dir), ["sub"])
-    return connectivity.unpack(edges, 64).select("sub", "i", "j", F.round(_null_nan(F.col("r").cast("double")), 4).alias("r"))
+    edges = connectivity.pearson_packed(views.embedding_frames(spark, sf_dir), ["sub"], double=True)
+    return connectivity.unpack(edges, 64).select("sub", "i", "j", F.round(_null_nan(F.col("r")), 6).alias("r"))
 
 
 @query(_pairs_sql((120.0,), extra="SELECT sub, window_id, i, j, r FROM r UNION ALL SELECT sub, window_id, j, i, r FROM r UNION ALL SELECT sub, window_id, n, n, 1.0 FROM (SELECT DISTINCT sub, window_id FROM r), (SELECT CAST(unnest(range(0, 5)) AS INTEGER) AS n)"))
