@@ -309,9 +309,23 @@ def by_bucket(keys: np.ndarray, got: dict, number: int, buckets: int, base: int
 def reply_shared(asked: list[bytes], bucket: int = 0) -> list[bytes]:
     """Bits of the keys that more than one question holds."""
     keys = [expand(x)[0] for x in asked]
-    every = np.sort(np.concatenate(keys))
-    twice = np.unique(every[1:][every[1:] == every[:-1]])
-    return [bits(np.isin(k, twice)) for k in keys]
+    return split_bits(holders(keys) > 1, keys)
+
+
+def holders(keys: list[np.ndarray]) -> np.ndarray:
+    """Of each entry of all arrays (each without repeats) in a row, how many arrays hold it."""
+    every = np.concatenate(keys)
+    order = np.argsort(every, kind="stable")
+    sorted_ = every[order]
+    new = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
+    sizes = np.diff(np.append(new, len(every)))
+    out = np.empty(len(every), np.int64)
+    out[order] = np.repeat(sizes, sizes)
+    return out
+
+
+def split_bits(flags: np.ndarray, keys: list[np.ndarray]) -> list[bytes]:
+    return [bits(x) for x in np.split(flags, np.cumsum([len(k) for k in keys])[:-1])]
 
 
 def least_by(keys: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -322,6 +336,19 @@ def least_by(keys: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return distinct, low, of
 
 
+def least_by_pair(hi: np.ndarray, lo: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same for keys of two parts: distinct hi and lo, sorted, least values, and places."""
+    order = np.lexsort((lo, hi))
+    h, l = hi[order], lo[order]  # noqa: E741
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (l[1:] != l[:-1])
+    at = np.flatnonzero(new)
+    of = np.empty(len(h), np.int64)
+    of[order] = np.cumsum(new) - 1
+    low = np.minimum.reduceat(value[order], at) if len(at) else np.zeros(0, np.int64)
+    return h[at], l[at], low, of
+
+
 def reply_smaller(asked: list[list[np.ndarray]]) -> list[bytes]:
     """Questions (key, ..., doc): bits of the entries whose key has a smaller doc in some question. All columns but the last are the key."""
     sizes = [len(x[0]) for x in asked]

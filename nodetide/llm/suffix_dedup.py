@@ -72,9 +72,8 @@ class _Block:
         self.at = np.repeat(a.begin[look] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
         self.at_id = np.repeat(a.id[look], counts)
         h = b"".join([xxh3_128_digest(raw[i : i + length]) for i in self.at.tolist()])
-        rank = np.frombuffer(h, np.dtype([("hi", ">u8"), ("lo", ">u8")]))
-        self.rank, self.rank_least, self.rank_of = B.least_by(rank, self.at_id)
-        self.hi, self.lo = self.rank["hi"].astype(np.uint64), self.rank["lo"].astype(np.uint64)
+        rank = np.frombuffer(h, ">u8").astype(np.uint64).reshape(-1, 2)
+        self.hi, self.lo, self.rank_least, self.rank_of = B.least_by_pair(rank[:, 0], rank[:, 1], self.at_id)
 
     def ask_runs(self) -> dict[int, bytes]:
         bounds, keys = B.split_buckets(self.min_key, self.buckets)

@@ -39,9 +39,6 @@ def _ranks(words: list[bytes], length: int) -> bytes:
     return b"".join([xxh3_128_digest(joined[begins[i] : ends[i + length - 1] - 1]) for i in range(len(words) - length + 1)])
 
 
-_RANK = np.dtype([("hi", ">u8"), ("lo", ">u8")])
-
-
 class _Block:
     def __init__(self, rows: pa.RecordBatch, got: dict, buckets: int, length: int, rounds: int):
         from xxhash import xxh3_64_intdigest
@@ -77,8 +74,8 @@ class _Block:
         self.at = np.repeat(a.begin[hot] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
         self.at_id = np.repeat(a.id[hot], counts)
         rank = b"".join([_ranks(self.flat[b : e + length - 1], length) for b, e in zip(a.begin[hot].tolist(), a.end[hot].tolist(), strict=True)])
-        self.rank, self.rank_least, self.rank_of = B.least_by(np.frombuffer(rank, _RANK), self.at_id)
-        self.hi, self.lo = self.rank["hi"].astype(np.uint64), self.rank["lo"].astype(np.uint64)
+        rank = np.frombuffer(rank, ">u8").astype(np.uint64).reshape(-1, 2)
+        self.hi, self.lo, self.rank_least, self.rank_of = B.least_by_pair(rank[:, 0], rank[:, 1], self.at_id)
 
     def _string_bounds(self) -> np.ndarray:
         """Where each bucket's strings begin and end; they are in the order of their minimisers."""
@@ -123,8 +120,8 @@ class _Block:
 def _reply_minimisers(asked: list[bytes], hot: int) -> tuple[list[bytes], list[bytes]]:
     """Bits: other blocks have it; and, after them, more than `hot` blocks have it."""
     keys = [B.expand(x)[0] for x in asked]
-    distinct, count = np.unique(np.concatenate(keys), return_counts=True)
-    return [B.bits(np.isin(k, distinct[count > 1])) for k in keys], [B.bits(np.isin(k, distinct[count > hot])) for k in keys]
+    n = B.holders(keys)
+    return B.split_bits(n > 1, keys), B.split_bits(n > hot, keys)
 
 
 def _reply_windows(asked: list[bytes], length: int) -> list[bytes]:
@@ -136,8 +133,8 @@ def _reply_windows(asked: list[bytes], length: int) -> list[bytes]:
         size = int.from_bytes(x[4 + 8 * n : 8 + 8 * n], "little")
         strings = pa.decompress(x[8 + 8 * n :], size, codec="zstd", asbytes=True).split(b"\n")
         ranks = [_ranks(s.split(b" "), length) for s in strings]
-        r = np.frombuffer(b"".join(ranks), _RANK)
-        out.append([r["hi"].astype(np.uint64), r["lo"].astype(np.uint64), np.repeat(doc, [len(k) // 16 for k in ranks])])
+        r = np.frombuffer(b"".join(ranks), ">u8").astype(np.uint64).reshape(-1, 2)
+        out.append([r[:, 0], r[:, 1], np.repeat(doc, [len(k) // 16 for k in ranks])])
     return B.reply_smaller(out)
 
 
