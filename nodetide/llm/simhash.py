@@ -76,13 +76,36 @@ def _segment(fp: Column, i: int) -> Column:
     return F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << n) - 1))
 
 
+def ring_keys(fp: Column) -> Column:
+    """The five (k, key) of a fingerprint: two neighbouring segments of the ring that must be equal."""
+    return F.array(*[F.struct(F.lit(k).alias("k"), F.shiftleft(_segment(fp, k), 13).bitwiseOR(_segment(fp, k + 1)).alias("key")) for k in range(5)])
+
+
+def ball(fp: Column) -> Column:
+    """The fingerprint and the 64 values that differ from it in one bit."""
+    return F.array(fp, *[fp.bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)])
+
+
+def close(x, k: int):
+    """Of differences x (unsigned), whether the chain from segment k stays within its budgets and the whole within DISTANCE."""
+    import numpy as np
+
+    near, spent = np.arange(len(x)), np.zeros(len(x), np.int64)
+    for j in range(5):  # the chain grows; what is over its budget goes
+        at, n = SEGMENTS[(k + j) % 5]
+        spent = spent + np.bitwise_count(x[near] & np.uint64(((1 << n) - 1) << at))
+        ok = spent <= DISTANCE * (j + 1) // 5
+        near, spent = near[ok], spent[ok]
+    out = np.zeros(len(x), bool)
+    out[near[np.bitwise_count(x[near]) <= DISTANCE]] = True
+    return out
+
+
 def _forest(rows: pa.RecordBatch) -> tuple[list[int], list[int]]:
     """Links of each group (ring position k, list fps) that join two trees of its forest."""
     import numpy as np
 
     a, b = [], []
-    masks = np.array([((1 << n) - 1) << at for at, n in SEGMENTS], np.uint64)
-    limits = [DISTANCE * (j + 1) // 5 for j in range(5)]
     for k, fps in zip(rows.column("k").to_pylist(), rows.column("fps").to_pylist(), strict=True):
         f = np.sort(np.array(fps, np.int64)).view(np.uint64)
         if len(f) < 2:
@@ -96,13 +119,7 @@ def _forest(rows: pa.RecordBatch) -> tuple[list[int], list[int]]:
             return i
 
         for i in range(len(f) - 1):
-            x = f[i + 1 :] ^ f[i]
-            near, spent = np.arange(len(x)), np.zeros(len(x), np.int64)
-            for j in range(5):  # the chain grows; what is over its budget goes
-                spent = spent + np.bitwise_count(x[near] & masks[(k + j) % 5])
-                ok = spent <= limits[j]
-                near, spent = near[ok], spent[ok]
-            for j in near[np.bitwise_count(x[near]) <= DISTANCE].tolist():
+            for j in np.flatnonzero(close(f[i + 1 :] ^ f[i], k)).tolist():
                 p, q = root(i), root(i + 1 + j)
                 if p != q:
                     tree[max(p, q)] = min(p, q)
@@ -113,10 +130,7 @@ def _forest(rows: pa.RecordBatch) -> tuple[list[int], list[int]]:
 
 def links(fps: DataFrame) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) whose components are those of all links at DISTANCE or less."""
-    fp = F.col("fp")
-    keys = fps.select("fp", F.explode(F.array(*[
-        F.struct(F.lit(k).alias("k"), F.shiftleft(_segment(fp, k), 13).bitwiseOR(_segment(fp, k + 1)).alias("key")) for k in range(5)
-    ])).alias("x")).select("fp", F.col("x.k").alias("k"), F.col("x.key").alias("key"))
+    keys = fps.select("fp", F.explode(ring_keys(F.col("fp"))).alias("x")).select("fp", F.col("x.k").alias("k"), F.col("x.key").alias("key"))
     sizes = keys.groupBy("k", "key").count().filter("count > 1")
     shared = keys.join(sizes, ["k", "key"])
 
@@ -127,7 +141,7 @@ def links(fps: DataFrame) -> DataFrame:
 
     small = shared.filter(F.col("count") <= SMALL_GROUP).groupBy("k", "key").agg(F.collect_list("fp").alias("fps")).select("k", "fps").mapInArrow(pairs, "a long, b long")
     large = shared.filter(F.col("count") > SMALL_GROUP).select("fp").distinct()
-    balls = large.select("fp", F.explode(F.concat(F.array("fp"), *[F.array(F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63)))) for i in range(64)])).alias("at"))
+    balls = large.select("fp", F.explode(ball(F.col("fp"))).alias("at"))
     meet = balls.groupBy("at").agg(F.min("fp").alias("a"), F.count_distinct("fp").alias("n")).filter("n > 1").select("at", "a")
     near = balls.join(meet, "at").filter(F.col("fp") != F.col("a")).select("a", F.col("fp").alias("b"))
     return small.unionByName(near).distinct()
@@ -170,6 +184,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", t
 
 def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """The rows of `docs` with the least doc_id of their component, one row each, in their own columns."""
-    classed = near_duplicates(docs, shingle).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("component_id").alias("_keep")).distinct()
-    held = docs.select(F.struct(*docs.columns).alias("_d"), "doc_id").dropDuplicates(["doc_id"])
-    return held.join(classed, F.col("doc_id").eqNullSafe(F.col("_keep"))).select(*[F.col("_d")[c].alias(c) for c in docs.columns])
+    return representatives(docs, near_duplicates(docs, shingle))
+
+
+def representatives(docs: DataFrame, classed: DataFrame) -> DataFrame:
+    """The rows of `docs` whose doc_id names its class in classed(doc_id, component_id), one row each, in their own columns."""
+    keep = classed.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("component_id").alias("_keep")).distinct()
+    held = docs.select(F.struct(*docs.columns).alias("_d"), "doc_id")
+    one = held.groupBy("doc_id").agg(F.first("_d").alias("_d")) if docs.groupBy("doc_id").count().filter("count > 1").limit(1).count() else held
+    return one.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep"))).select(*[F.col("_d")[c].alias(c) for c in docs.columns])

@@ -8,25 +8,9 @@ import pytest
 
 pytest.importorskip("nodetide.llm")
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
+from tests_llm_rows import make_rows  # noqa: E402
 
-def make_rows():
-    rng = random.Random(5)
-    vocab = ["".join(rng.choice(["the", "en", "ré", "on", "ß"]) for _ in range(rng.randint(1, 4))) for _ in range(300)]
-    say = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
-    rows = [(i, say(rng.randint(1, 200))) for i in range(60)]
-    passage = say(90)
-    for i in range(60, 75):
-        rows.append((i, f"{say(30)} {passage}\n{say(20)}"))
-    rows += [(i, rows[3][1]) for i in range(75, 85)]  # exact copies
-    near = rows[61][1].split(" ")
-    for i in range(85, 100):  # near copies
-        w = list(near)
-        w[rng.randrange(len(w))] = "changed"
-        rows.append((i, " ".join(w)))
-    rows += [(100, None), (101, ""), (102, " \n\t "), (103, "one"), (104, "one two"), (105, "a " * 500), (106, "a " * 700), (107, say(5000)), (107, say(50)), (108, rows[7][1]), (108, rows[7][1]), (109, "line x\n" * 30), (110, "Ünï 日本語 🙂   x\x0bz ''s don't  12345\r\n\r\n  q")]
-    return rows
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 @pytest.fixture(scope="module")
@@ -184,3 +168,72 @@ def test_byte_bpe(docs):
         t = "".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(160, 0x250), rng.randrange(0x400, 0x500), 0x1F600 + rng.randrange(60), 10, 32])) for _ in range(rng.randrange(200)))
         ids = np.frombuffer(c.encode(t), "<i4").tolist()
         assert ids == enc.encode_ordinary(t) and c.decode(ids).decode() == t
+
+
+def test_language_id(spark):
+    import zlib
+
+    from nodetide.llm import language_id
+
+    rng = random.Random(4)
+    parts = {"aa": ["tha", "ing", "er", "on"], "bb": ["ció", "que", "los", "ar"], "cc": ["sch", "ung", "ein", "zu"]}
+    word = {k: lambda p=p: "".join(rng.choice(p) for _ in range(rng.randint(1, 4))) for k, p in parts.items()}
+    rows = [(i, " ".join(word[k]() for _ in range(rng.randint(5, 60))), k) for i in range(240) for k in (sorted(parts)[i % 3],)]
+    rows += [(240, None, "aa"), (241, "", "bb"), (242, "12 345 !!", "cc"), (243, "tha ing", None), (None, "que los ciólos", "bb")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("lang_pred", __import__("pyspark.sql.functions", fromlist=["lit"]).lit("x"))
+    out = language_id.predict_documents(d).collect()
+    lang = {i: k for i, _, k in rows}
+    assert len(out) == len(rows)
+    for r in out:
+        assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1
+        if r.doc_id in (240, 241, 242):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+        elif r.doc_id != 243:
+            assert r.lang_pred == lang[r.doc_id]
+    assert language_id.predict_documents(d.limit(0)).count() == 0
+
+
+def test_kneser_ney_sums_to_one():
+    import numpy as np
+
+    from nodetide.llm import language_id as L
+
+    words = {"a": ["the", "then", "hen"], "b": ["zoo", "oz"]}
+    grams = {}
+    for k, ws in words.items():
+        for g in L._grams(ws, 3):
+            grams[k, g] = grams.get((k, g), 0) + 1
+    m = L.fit([(k, g, n) for (k, g), n in grams.items()], 3)
+    alphabet = sorted({g[-1] for _, g in grams})
+    for context in ("\0\0", "\0t", "th", "he"):
+        p = np.exp(m.log_probability([context + c for c in alphabet])).sum(0)
+        assert (p > 0.75).all() and (p <= 1 + 1e-6).all()  # the rest is for unseen characters
+
+
+def test_quality_classifier(spark):
+    import zlib
+
+    from nodetide.llm import quality_classifier as q
+
+    rng = random.Random(8)
+    say = lambda: " ".join(rng.choice(["the", "then", "and", "river", "stone", "walks", "under"]) + rng.choice(["", "s", "ed"]) for _ in range(rng.randint(20, 90)))
+    rows = [(i, say() if i % 2 else "BUY!! " * rng.randint(20, 80), i % 2) for i in range(400)]
+    d = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(400, None), (401, ""), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(9999, 1), (None, 0), (3, None)], "doc_id long, quality int")
+    out = {r.doc_id: r for r in q.score_documents(d, labels).collect()}
+    assert len(out) == 403
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert all(out[i].held_out for i in held) and sum(out[i].held_out for i in range(400)) == len(held)
+    assert sum(out[i].predicted == i % 2 for i in held) >= 0.95 * len(held)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in out.values())
+    assert q.score_documents(d.limit(0), labels).count() == 0
+    assert {r.score for r in q.score_documents(d, labels.limit(0)).collect()} == {0.5}
+
+
+def test_isotonic():
+    import numpy as np
+
+    from nodetide.llm.quality_classifier import isotonic
+
+    x, y = isotonic(np.array([0.0, 1, 2, 3]), np.array([0, 5, 2, 9.0]), np.array([9.0, 10, 10, 10]))
+    assert (np.diff(y) >= 0).all() and x[0] == 0.0 and abs(np.interp(1.5, x, y) - 7.5 / 21) < 1e-9
