@@ -19,5 +19,7 @@ def spark():
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
-    yield s
+    from nodetide.deploy import ship
+
+    yield ship(s)
     s.stop()
