@@ -39,7 +39,7 @@ def butterworth(low: float | None, high: float | None, tr: float, order: int = 5
     """Digital Butterworth filter coefficients (b, a) by the bilinear transform; low and high are the pass band's edges in Hz."""
     nyquist = 0.5 / tr
     high = high if high and high < nyquist else None
-    warp = lambda f: 4.0 * np.tan(np.pi * f * tr / 2.0)  # noqa: E731  sampling at rate 2 in these units
+    warp = lambda f: 4.0 * np.tan(np.pi * f * tr)  # noqa: E731  sampling at rate 2 in these units
     proto = np.exp(1j * np.pi * (2 * np.arange(1, order + 1) + order - 1) / (2 * order))
     if low and high:
         bw, centre = warp(high) - warp(low), np.sqrt(warp(high) * warp(low))

@@ -65,7 +65,7 @@ def discover(spark: SparkSession, cfg: CohortConfig) -> DataFrame:
 
 def censor(spark: SparkSession, paths: list[str]) -> DataFrame:
     """path, t, keep of one-column text files: above 0.5 keeps. Lines keep their order in the file; blank lines and # comments don't count."""
-    whole = spark.read.option("wholetext", True).text(paths).select(F.regexp_replace(F.input_file_name(), "^file:/+", "/").alias("path"), "value")
+    whole = spark.read.text(paths, wholetext=True).select(F.regexp_replace(F.input_file_name(), "^file:/+", "/").alias("path"), "value")
     lines = F.filter(F.transform(F.split("value", r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, "#.*", ""))), lambda x: x != "")
     return whole.select("path", F.posexplode(lines).alias("t", "x")).select("path", "t", (F.col("x").cast("double") > 0.5).alias("keep"))
 
@@ -73,12 +73,12 @@ def censor(spark: SparkSession, paths: list[str]) -> DataFrame:
 def confounds(spark: SparkSession, path: str, kind: str, n_tr: int, columns: tuple[str, ...] = ()) -> DataFrame:
     """t and c (array<double>) of a confounds table: afni_1D text or fmriprep_tsv; not-a-number counts as 0; a table that lies on its side is turned."""
     if kind == "fmriprep_tsv":
-        text = spark.read.option("wholetext", True).text(path).first()[0]
+        text = spark.read.text(path, wholetext=True).first()[0]
         head = text.splitlines()[0].split("\t")
         names = list(columns or head)
         rows = [[line.split("\t")[head.index(c)] for c in names] for line in text.splitlines()[1:] if line.strip()]
     elif kind == "afni_1D":
-        rows = [line.split("#")[0].split() for line in spark.read.option("wholetext", True).text(path).first()[0].splitlines() if line.split("#")[0].strip()]
+        rows = [line.split("#")[0].split() for line in spark.read.text(path, wholetext=True).first()[0].splitlines() if line.split("#")[0].strip()]
     else:
         raise ValueError(f"unsupported confounds format {kind!r}")
 
