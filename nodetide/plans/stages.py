@@ -104,10 +104,11 @@ def extract_stage(spark: SparkSession, cfg: CohortConfig, strict: bool = True, s
         todo = storage.pending(mine, done.filter(F.col("atlas") == storage.key_text(name)) if done is not None else None, ["run_key"], overwrite)
         wrong = F.when(F.col("n_tr") < 0, "not a readable 4D image").when(F.bround(F.col("trim_end_s") / cfg.tr) > F.col("n_tr"), "trim is longer than the run")
         todo = todo.withColumn("detail", wrong).cache()
-        good = todo.filter("detail IS NULL")
-        if not good.isEmpty():
-            storage.write_stage(activation(spark, cfg, good.drop("detail", "atlas"), atlas), cfg.output_root, "activation")
+        # Read before the write: writing to the stage refreshes what was cached from it.
         new = {r.run_key: r.detail for r in todo.select("run_key", "detail").collect()}  # one row a run
+        good = mine.join(F.broadcast(todo.filter("detail IS NULL").select("run_key")), "run_key", "left_semi") if new else mine
+        if any(v is None for v in new.values()):
+            storage.write_stage(activation(spark, cfg, good.drop("atlas"), atlas), cfg.output_root, "activation")
         root = storage.stage_root(cfg.output_root, "activation", name, cohort=cfg.cohort)
         for r in mine.select("run_key", "task", "sub", "n_tr").collect():
             status = "skipped" if r.run_key not in new else "error" if new[r.run_key] else "ok"
@@ -134,8 +135,10 @@ def dfc_stage(spark: SparkSession, cfg: CohortConfig, sizes_s: list[float] | Non
         done = _existing(spark, cfg, "dfc")
         done = done.filter(F.col("atlas") == storage.key_text(name)).select("run_key", F.col("window_s").cast("double").alias("window_s")) if done is not None else None
         todo = storage.pending(planned, done, ["run_key", "window_s"], overwrite).cache()
+        # Read before the write: writing to the stage refreshes what was cached from it.
+        new = {(r.run_key, r.window_s) for r in todo.select("run_key", "window_s").collect()}  # one row a run and size
         counts: dict = {}
-        if not todo.isEmpty():
+        if new:
             spans = todo.select("run_key", "window_s", "duration_s", "n_tr_nominal")
             frames = act.withColumn("task_", F.col("task")).join(F.broadcast(spans), "run_key")
             w = cfg.windows
@@ -143,7 +146,6 @@ def dfc_stage(spark: SparkSession, cfg: CohortConfig, sizes_s: list[float] | Non
             storage.write_stage(out, cfg.output_root, "dfc")
             written = storage.open_stage(spark, cfg.output_root, "dfc").filter(F.col("atlas") == storage.key_text(name))
             counts = {(r.run_key, float(r.window_s)): r["count"] for r in written.groupBy("run_key", "window_s").count().collect()}
-        new = {(r.run_key, r.window_s) for r in todo.select("run_key", "window_s").collect()}
         for r in planned.select("run_key", "task", "sub", "window_s").collect():
             n = counts.get((r.run_key, r.window_s), 0)
             status = "skipped" if (r.run_key, r.window_s) not in new else "ok" if n else "empty"
