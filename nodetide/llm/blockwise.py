@@ -202,7 +202,7 @@ _MULT = 0x9E3779B97F4A7C15
 
 def rolling(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the k values from each place on (polynomial, by doubling); len(h) - k + 1 of them."""
-    out, have, power = None, 0, 1
+    out, have = None, 0
     step, length, p = h, 1, _MULT
     while True:
         if k & length:
@@ -217,7 +217,6 @@ def rolling(h: np.ndarray, k: int) -> np.ndarray:
         n = len(step) - length
         step = step[:n] * np.uint64(p) + step[length : length + n]
         length, p = 2 * length, p * p & (1 << 64) - 1
-    del power
     return mix64(out)
 
 

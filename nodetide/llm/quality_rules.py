@@ -89,7 +89,6 @@ def base_failed() -> Column:
 
 def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules by falling rejections per second, measured on at most `rows` rows. Counts and times come to the driver, no texts."""
-    spark = docs.sparkSession
     sample = docs.select(F.col(text).alias("text")).limit(rows).select(F.coalesce("text", F.lit("")).alias("text")).withColumn("w", words(F.col("text"))).cache()
     n = sample.count()
     score = []
@@ -100,7 +99,6 @@ def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "
         hit = check.collect()[0][0]
         score.append(((hit + 1) / (n + 2) / max(time.perf_counter() - began, 1e-6), rule))
     sample.unpersist()
-    del spark
     return [rule for _, rule in sorted(score, key=lambda x: -x[0])]
 
 
@@ -129,7 +127,9 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that pass, with their own columns only."""
     own = [F.col("d")[c].alias(c) for c in docs.columns]
     held = docs.select(F.struct(*docs.columns).alias("d")).withColumn("text", F.col("d.text"))
-    return apply_rules(held).filter("kept").select(*own)
+    # The row number keeps the filter above the statistics: pushed below, it would compute them anew wherever it names them.
+    judged = apply_rules(held).withColumn("_row", F.monotonically_increasing_id())
+    return judged.filter(F.col("kept") & (F.col("_row") >= 0)).select(*own)
 
 
 ORACLE_SQL = r"""
