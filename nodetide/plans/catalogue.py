@@ -224,10 +224,11 @@ def hive_keys(spark, sf_dir):
 
 def _windowed(spark, sf_dir, widths=(30.0,), good_only=True):
     a = views.event_activation(spark, sf_dir)
-    frames = views.event_frames(spark, sf_dir).select("run_key", "t", "good_frame")
-    d = a.join(frames, ["run_key", "t"])
+    bad = views.event_bad_frames(spark, sf_dir)
     if good_only:
-        d = d.filter("good_frame")
+        d = a.join(bad, ["run_key", "t"], "left_anti")
+    else:
+        d = a.join(bad.withColumn("_bad", F.lit(True)), ["run_key", "t"], "left").withColumn("good_frame", F.col("_bad").isNull()).drop("_bad")
     d = d.withColumns({"duration_s": F.lit(720.0), "window_s": F.explode(F.array(*map(F.lit, widths))), "stimulus_time_s": F.col("t").cast("float")})
     return grid.assign_windows(d)
 
