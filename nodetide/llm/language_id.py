@@ -3,7 +3,7 @@
 Training counts every word of every training row, per language: character n-grams of order ORDER inside a word that is padded with
 a boundary on both sides. All lower orders follow from the distinct n-grams, as Kneser-Ney asks (continuation counts). One discount per order comes
 from the counts of counts. The counts are summed by Spark with partial sums; what reaches the driver are at most MODEL_GRAMS n-grams of
-the highest order (the most frequent, ties by text), so the model that is sent out is bounded while the counts behind it cover the whole corpus.
+the highest order (the most frequent), so the model that is sent out is bounded while the counts behind it cover the whole corpus.
 
 The model keeps, for each order, a sorted array of 64-bit n-gram hashes with the interpolated log-probability under every language and, for contexts, the
 back-off weights. A document gets the language with the lowest cross-entropy per character.
@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nodetide.llm.common import cut
+
 ORDER = 4
 MODEL_GRAMS = 300_000
 CALIBRATION_ROWS = 2000
@@ -209,7 +211,11 @@ def _margin(entropy: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def calibrate(model: Model, rows: DataFrame) -> None:
     """Fits slope and offset of P(right | margin) on at most CALIBRATION_ROWS rows (lang, text)."""
-    got = [(r.lang, r.text) for r in rows.orderBy(F.xxhash64("text")).limit(CALIBRATION_ROWS).collect()]
+    # First the hash up to which texts are taken, then those texts: no task sends more than it has of them.
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    last = hashed.select("h").distinct().orderBy("h").limit(CALIBRATION_ROWS).agg(F.max("h")).first()[0]
+    taken = hashed.filter(F.col("h") <= last).select("lang", "text").distinct() if last is not None else hashed.limit(0)
+    got = [(r.lang, r.text) for r in taken.limit(CALIBRATION_ROWS).collect()]
     if not got or len(model.languages) < 2:
         return
     batch = pa.RecordBatch.from_pydict({"text": pa.array([t for _, t in got], pa.string())})
@@ -228,11 +234,22 @@ def calibrate(model: Model, rows: DataFrame) -> None:
         model.slope, model.offset = float(beta[0] * 10), float(beta[1])
 
 
+def _most_frequent(grams: DataFrame, most: int) -> DataFrame:
+    """The n-grams above the least count that at most `most` reach, counts taken in sixteenths of a power of two; each task sends only those it holds."""
+    size = F.floor(F.log2("n") * 16)
+    cutoff, total = None, 0
+    for r in grams.groupBy(size.alias("size")).agg(F.count("*").alias("k")).orderBy(F.desc("size")).collect():  # a thousand rows at most
+        total += r.k
+        if total > most:
+            break
+        cutoff = r["size"]
+    return grams.filter(size >= cutoff) if cutoff is not None else grams.limit(0)
+
+
 def train(rows: DataFrame, order: int = ORDER, most: int = MODEL_GRAMS) -> Model:
     """A calibrated model from all rows of (lang, text) with both."""
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    top = count_grams(rows, order).orderBy(F.desc("n"), "gram", "lang").limit(most)
-    model = fit([(r.lang, bytes(r.gram).decode("utf-8", "surrogatepass"), r.n) for r in top.collect()], order)
+    model = fit([(r.lang, bytes(r.gram).decode("utf-8", "surrogatepass"), r.n) for r in _most_frequent(cut(count_grams(rows, order), "grams"), most).collect()], order)
     calibrate(model, rows)
     return model
 
