@@ -1,14 +1,16 @@
-"""Near-duplicate classes for similar, not only all but equal, texts: twelve SimHash fingerprints with pigeonring filtering.
+"""Near-duplicate classes: texts whose sets of five-word shingles have a Jaccard similarity of LEAST or more, and what such links join.
 
-One 64-bit fingerprint within two bits finds copies with hardly a change. Copies that share four fifths of their five-word shingles differ in a few words in a
-hundred; over the set of their words such texts differ in about 5 % of SimHash bits. So each text gets PARTS independent 64-bit fingerprints over its distinct words: two
-texts link if one part differs in at most two bits (found without loss by pigeonring, see `simhash`) and all parts together in at most MOST of their
-bits. Unrelated texts of a language differ in 35 to 55 % of the bits, pairs of similarity 0.8 or more in at most 11 %; tests measure the recall.
+Candidates come from two sides. SimHash: each text gets PARTS independent 64-bit fingerprints over its distinct words; two texts meet if one part differs in at
+most two bits (found without loss by pigeonring, see `simhash`) and, in small groups, all parts together in at most MOST of their bits. That finds scattered
+edits, but few appended or cut blocks: at a similarity of 0.8 they cost 15 % of the bits of a SimHash over shingles, and no number of parts that fits makes up for it.
+MinHash: BANDS keys of ROWS minima each over the shingles; texts of similarity 0.8 share a key with probability 0.998, wherever their edits are.
 
-Groups, hot groups and components are handled as in `simhash`: only distinct fingerprints meet, a group gives a forest, and members of a large group are linked through
-values within distance one, which spreads it over all tasks.
+Every link is checked by the exact similarity of its two texts. The members of a MinHash key are first compared with its least member; only keys that still hold more than
+one class then have all members of different classes compared, in cells of two blocks of at most BLOCK members, so that no large group lands in one task. That part
+grows with the square of the number of texts that share a key without being similar.
 
-Defined cases are those of `simhash`.
+Defined cases are those of `simhash`, but texts are the same only if their words are, in their order; each row is classed by its text, so a repeated or null doc_id
+says nothing about its class.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nodetide.llm import simhash
@@ -26,6 +28,13 @@ from nodetide.llm.common import cut
 PARTS = 12
 #: Of PARTS * 64 bits.
 MOST = 78
+SHINGLE = 5
+LEAST = 0.8
+BANDS = 16
+ROWS = 5
+BLOCK = 64
+#: Nodes that a broadcast may hold; beyond, joins shuffle.
+BROADCAST_NODES = 1_000_000
 
 
 def fingerprint(text: str | None) -> np.ndarray:
@@ -41,19 +50,72 @@ def fingerprint(text: str | None) -> np.ndarray:
     return np.packbits(2 * total > n).view(np.int64)
 
 
+def shingles(text: str | None) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of the SHINGLE-word shingles of a text; fewer words make one of all."""
+    from xxhash import xxh3_64_intdigest
+
+    w = (text or "").encode("utf-8", "replace").lower().split()
+    if not w:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(w)
+    ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
+    begins = np.concatenate(([0], ends[:-1] + 1))
+    n = max(1, len(w) - SHINGLE + 1)
+    last = ends[min(SHINGLE, len(w)) - 1 :]
+    return np.unique(np.fromiter((xxh3_64_intdigest(joined[x:y]) for x, y in zip(begins[:n].tolist(), last.tolist(), strict=True)), np.uint64, n))
+
+
+def _multipliers() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.Generator(np.random.PCG64(simhash.SEED))
+    return rng.integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(h: np.ndarray) -> list[int]:
+    """BANDS keys of a set of shingles, each of ROWS minima; none of an empty set."""
+    from xxhash import xxh3_64_intdigest
+
+    if not len(h):
+        return []
+    mul, add = _multipliers()
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(h), 2048):
+        x = h[i : i + 2048, None] * mul + add
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        least = np.minimum(least, (x ^ (x >> np.uint64(32))).min(0))
+    return np.array([xxh3_64_intdigest(r.tobytes(), k) for k, r in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64).tolist()
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of LEAST or more."""
+    few, many = sorted((x, y), key=len)
+    if len(few) < LEAST * len(many) or not len(few):
+        return len(few) == len(many)
+    at = np.minimum(np.searchsorted(many, few), len(many) - 1)
+    both = int((many[at] == few).sum())
+    return both >= LEAST * (len(x) + len(y) - both) - 1e-9
+
+
+def _text_key() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def prints(docs: DataFrame) -> DataFrame:
-    """doc_id, node (a hash of all parts) and fps (array<long>)."""
-    d = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    """doc_id, text_key, node (a hash of all words in their order), fps (array<long>) and bands (array<long>)."""
+    d = docs.select("doc_id", _text_key().alias("text_key"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
         for b in batches:
-            fps = [fingerprint(t.as_py()) for t in b.column("text")]
-            node = np.array([xxh3_64_intdigest(f.tobytes()) for f in fps], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(node), pa.array([f.tolist() for f in fps], pa.list_(pa.int64()))], ["doc_id", "node", "fps"])
+            texts = [t.as_py() for t in b.column("text")]
+            node = np.array([xxh3_64_intdigest(b" ".join((t or "").encode("utf-8", "replace").lower().split())) for t in texts], np.uint64).view(np.int64)
+            long = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("text_key"), pa.array(node), pa.array([fingerprint(t).tolist() for t in texts], long), pa.array([band_keys(shingles(t)) for t in texts], long)],
+                ["doc_id", "text_key", "node", "fps", "bands"],
+            )
 
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, node long, fps array<long>")
+    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, text_key long, node long, fps array<long>, bands array<long>")
 
 
 def _forest(slot: int, nodes: np.ndarray, fps: np.ndarray) -> list[tuple[int, int]]:
@@ -82,7 +144,7 @@ def _forest(slot: int, nodes: np.ndarray, fps: np.ndarray) -> list[tuple[int, in
 
 
 def links(nodes: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes(node, fps)."""
+    """Candidate links (a, b) between nodes(node, fps)."""
     parts = nodes.select("node", F.posexplode("fps").alias("part", "fp"))
     keys = parts.select("node", "part", "fp", F.explode(simhash.ring_keys(F.col("fp"))).alias("x")).select("node", "part", "fp", (F.col("part") * 5 + F.col("x.k")).alias("slot"), F.col("x.key").alias("key"))
     sizes = keys.groupBy("slot", "key").count().filter("count > 1")
@@ -107,12 +169,95 @@ def links(nodes: DataFrame) -> DataFrame:
     return small.unionByName(equal).unionByName(near).distinct()
 
 
+def _shingle_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, s: the bytes of its shingles) of the nodes in `wanted`."""
+    need = cut(wanted.join(nodes, "node").select("node", "text_key"), "wanted")
+    texts = docs.select(_text_key().alias("text_key"), F.col("text").cast("string").alias("text"))
+    held = texts.join(F.broadcast(need) if need.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES else need, "text_key").select("node", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([shingles(t.as_py()).tobytes() for t in b.column("text")], pa.binary())], ["node", "s"])
+
+    return cut(held.dropDuplicates(["node"]).mapInArrow(run, "node long, s binary"), "sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(b.column("x"), b.column("y"), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _cell_links(members: list[dict]) -> list[tuple[int, int]]:
+    """Similar pairs of one cell that join two classes; of a cell of two blocks only pairs between them."""
+    sets = [np.frombuffer(m["s"], np.uint64) for m in members]
+    tree: dict[int, int] = {m["root"]: m["root"] for m in members}
+    mixed, out = len({m["block"] for m in members}) > 1, []
+
+    def root(i: int) -> int:
+        while tree[i] != i:
+            tree[i] = tree[tree[i]]
+            i = tree[i]
+        return i
+
+    for i, m in enumerate(members):
+        for j in range(i):
+            o = members[j]
+            if mixed and m["block"] == o["block"]:
+                continue
+            p, q = root(m["root"]), root(o["root"])
+            if p != q and similar(sets[i], sets[j]):
+                tree[max(p, q)] = min(p, q)
+                out.append((o["node"], m["node"]))
+    return out
+
+
+def _rest_links(rest: DataFrame, sizes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Similar pairs (a, b) of different roots within the groups of rest(key, node, root), sizes(key, n)."""
+    dealt = rest.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
+    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = other.select("key", F.least("block", "other").alias("c"), F.greatest("block", "other").alias("d"), "node", "root", "block").join(sets, "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [x for m in b.column("members") for x in _cell_links(m.as_py())]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+
+    grouped = cells.groupBy("key", "c", "d").agg(F.collect_list(F.struct("node", "root", "block", "s")).alias("members"))
+    return grouped.select("members").mapInArrow(run, "a long, b long")
+
+
+def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The prints of `docs`, and (node, root) of every node: the classes that links of similarity LEAST or more make."""
+    p = cut(prints(docs), "wide")
+    nodes = cut(p.groupBy("node").agg(F.min("text_key").alias("text_key"), F.min("fps").alias("fps"), F.min("bands").alias("bands")), "nodes")
+    keys = nodes.select("node", F.explode("bands").alias("key"))
+    least = keys.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1")
+    shared = cut(keys.join(least, "key"), "shared")
+    stars = shared.filter("node != a").select("a", F.col("node").alias("b"))
+    pairs = cut(stars.unionByName(links(nodes.select("node", "fps")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), "pairs")
+    wanted = shared.select("node").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    sets = _shingle_sets(docs, nodes.select("node", "text_key"), wanted)
+    first = cut(_verified(pairs, sets), "verified")
+    tree = simhash.components(first)
+    placed = shared.select("key", "node").join(tree, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    open_ = placed.groupBy("key").agg(F.min("root").alias("u"), F.max("root").alias("v"), F.count("*").alias("n")).filter("u != v").select("key", "n")
+    second = cut(_rest_links(placed, open_, sets), "rest")
+    if second.limit(1).count():
+        tree = simhash.components(first.unionByName(second))
+    return p, nodes.select("node").join(tree, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
 def similar_documents(docs: DataFrame) -> DataFrame:
     """doc_id and component_id (the least doc_id of its class), one row per input row."""
-    p = cut(prints(docs), "wide")
-    nodes = cut(p.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fps").alias("fps")), "nodes")
-    tree = simhash.components(links(nodes.select("node", "fps")))
-    placed = nodes.select("node", "least").join(tree, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    p, tree = classes(docs)
+    placed = p.groupBy("node").agg(F.min("doc_id").alias("least")).join(tree, "node")
     named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
     return p.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
 

@@ -123,3 +123,32 @@ def test_run(spark, tmp_path):
     for _, stage in P.STAGES[:-1]:
         out = stage(spark, out, str(tmp_path))
         assert out.columns == docs.columns
+
+
+def shingle_set(t):
+    x = (t or "").split()
+    return {tuple(x[k : k + 5]) for k in range(max(1, len(x) - 4))}
+
+
+def jaccard(t, u):
+    a, b = shingle_set(t), shingle_set(u)
+    return len(a & b) / len(a | b)
+
+
+def test_wide_recall_of_block_edits(spark):
+    from nodetide.llm import wide_simhash as w
+
+    rng = random.Random(10)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(2000)]
+    say = lambda n: [rng.choice(vocab) for _ in range(n)]
+    rows = []
+    for i in range(200):
+        base = say(rng.randint(60, 400))
+        block = len(base) * (5, 10, 15, 18)[i // 2 % 4] // 100
+        at = rng.randrange(len(base) - block)
+        near = base + say(block) if i % 2 else base[:at] + base[at + block :]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(near))]
+    pairs = [(2 * i, 2 * i + 1) for i in range(200) if jaccard(rows[2 * i][1], rows[2 * i + 1][1]) >= 0.8]
+    got = dict(map(tuple, w.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert len(pairs) > 150 and sum(got[a] == got[b] for a, b in pairs) >= 0.97 * len(pairs)
+    assert all(got[i] // 2 == i // 2 for i in got)
