@@ -152,3 +152,23 @@ def test_wide_recall_of_block_edits(spark):
     got = dict(map(tuple, w.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
     assert len(pairs) > 150 and sum(got[a] == got[b] for a, b in pairs) >= 0.97 * len(pairs)
     assert all(got[i] // 2 == i // 2 for i in got)
+
+
+@pytest.mark.parametrize("small_group", [256, 1])
+def test_wide_keeps_texts_of_one_frame_apart(spark, small_group, monkeypatch):
+    from nodetide.llm import simhash
+    from nodetide.llm import wide_simhash as w
+
+    monkeypatch.setattr(simhash, "SMALL_GROUP", small_group)
+    monkeypatch.setattr(w, "BLOCK", 16, raising=False)
+    rng = random.Random(11)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(2000)]
+    say = lambda n: [rng.choice(vocab) for _ in range(n)]
+    frame, rows = say(200), []
+    for i in range(70):
+        rows.append((i, " ".join(frame + say(25 + i % 16))))
+    rows += [(i, f"{rows[i - 70][1]} more {i}") for i in range(70, 90)]
+    c = classes(len(rows), lambda i, j: jaccard(rows[i][1], rows[j][1]) >= 0.8)
+    want = dict(enumerate(c))
+    assert 50 < len(set(c)) <= 70
+    assert dict(map(tuple, w.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == want
