@@ -172,3 +172,19 @@ def test_wide_keeps_texts_of_one_frame_apart(spark, small_group, monkeypatch):
     want = dict(enumerate(c))
     assert 50 < len(set(c)) <= 70
     assert dict(map(tuple, w.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == want
+
+
+def test_wide_checks_shingles(spark):
+    from nodetide.llm import wide_simhash as w
+
+    rng = random.Random(12)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(500)]
+    base = [rng.choice(vocab) for _ in range(200)]
+    mixed, turned = rng.sample(base, len(base)), base[100:] + base[:100]
+    scattered = list(base)
+    for k in range(0, 200, 20):
+        scattered[k] = base[k + 1]  # the words hardly change, the shingles do
+    rows = [(i, " ".join(x)) for i, x in enumerate([base, mixed, turned, scattered, base])]
+    assert jaccard(rows[0][1], rows[1][1]) < 0.1 and jaccard(rows[0][1], rows[2][1]) > 0.8 and jaccard(rows[0][1], rows[3][1]) < 0.8
+    got = dict(map(tuple, w.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == {0: 0, 1: 1, 2: 0, 3: 3, 4: 0}
