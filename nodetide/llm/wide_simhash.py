@@ -96,7 +96,7 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def _text_key() -> Column:
-    return F.xxhash64(F.col("text").cast("string"))
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def prints(docs: DataFrame) -> DataFrame:
@@ -263,5 +263,10 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that stand for their class: its least doc_id, one row each, in their own columns."""
-    return simhash.representatives(docs, similar_documents(docs))
+    """One row of `docs` for each class, in their own columns: of those with its least doc_id, or of all if none has one, that of the least text key."""
+    p, tree = classes(docs)
+    named = p.join(tree, "node").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("k"))
+    keep = named.select(F.col("k.doc_id").alias("_id"), F.col("k.text_key").alias("_key"))
+    held = docs.select(F.struct(*docs.columns).alias("_d"), "doc_id", _text_key().alias("text_key"))
+    taken = held.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).select("_id", "_key", "_d")
+    return taken.groupBy("_id", "_key").agg(F.first("_d").alias("_d")).select(*[F.col("_d")[c].alias(c) for c in docs.columns])

@@ -188,3 +188,15 @@ def test_wide_checks_shingles(spark):
     assert jaccard(rows[0][1], rows[1][1]) < 0.1 and jaccard(rows[0][1], rows[2][1]) > 0.8 and jaccard(rows[0][1], rows[3][1]) < 0.8
     got = dict(map(tuple, w.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
     assert got == {0: 0, 1: 1, 2: 0, 3: 3, 4: 0}
+
+
+def test_wide_keeps_a_row_of_each_class_whatever_its_id(spark):
+    from nodetide.llm import wide_simhash as w
+
+    rng = random.Random(13)
+    say = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(80))
+    t = [say() for _ in range(6)]
+    # Two texts of id 1 of which one is a copy of id 0's, three of no id, one of them a copy of id 2's.
+    rows = [(0, t[0]), (1, t[0]), (1, t[1]), (None, t[2]), (None, t[3]), (None, t[4]), (2, t[4]), (None, t[3]), (3, t[5]), (3, t[5])]
+    kept = sorted((tuple(r) for r in w.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert kept == sorted([(0, t[0]), (1, t[1]), (None, t[2]), (None, t[3]), (2, t[4]), (3, t[5])], key=str)
