@@ -33,3 +33,13 @@ def test_query(spark, duck, name):
     want = duck.sql(catalogue.SQL[name])
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got.columns, values) == rows(want.columns, want.fetchall())
+
+
+@pytest.mark.parametrize("change", ["value", "missing"])
+def test_equivalence_check_sees_every_edge(spark, monkeypatch, change):
+    from pyspark.sql import functions as F
+
+    unpack, last = catalogue.connectivity.unpack, (F.col("i") == 62) & (F.col("j") == 63)
+    other = {"value": lambda e: e.withColumn("r", F.when(last, F.col("r") + 0.5).otherwise(F.col("r"))), "missing": lambda e: e.filter(~last)}[change]
+    monkeypatch.setattr(catalogue.connectivity, "unpack", lambda *a: other(unpack(*a)))
+    assert not any(r.same for r in catalogue.equivalence_check(spark, SF).collect())
