@@ -108,10 +108,28 @@ def test_quality_rules(docs):
 
 
 def test_quality_order_does_not_change_the_verdict(docs):
+    import itertools
+
     from nodetide.llm import quality_rules as q
 
-    rules = q.plan_cascade(docs)
-    assert sorted(r.name for r in rules) == sorted(r.name for r in q.RULES)
+    awkward = docs.unionByName(docs.limit(5).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "upper(text) AS text", "lang", "source", "n_chars", "n_words", "tokens"))
+    verdict = lambda order: sorted(map(tuple, q.apply_rules(awkward.select("doc_id", "text"), order=list(order)).select("doc_id", "n_words", "kept").collect()), key=str)
+    want = verdict(q.RULES)
+    assert any(r[0] is None for r in want) and 0 < sum(r[2] for r in want) < len(want)
+    for order in [q.RULES[::-1], *itertools.islice(itertools.permutations(q.RULES), 7, 120, 30)]:
+        assert verdict(order) == want
+
+
+def test_quality_plan_puts_rejections_per_cost_first(spark):
+    from nodetide.llm import quality_rules as q
+    from pyspark.sql import functions as F
+
+    d = spark.createDataFrame([(i, "some words here " * 60) for i in range(300)], "doc_id long, text string")
+    never = q.Rule("never", lambda t, w: F.length(t) < 0)
+    always = q.Rule("always", lambda t, w: F.length(t) > 0)
+    slow = q.Rule("slow", lambda t, w: F.size(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(30)), lambda i: F.split(F.concat(t, i.cast("string")), "[ae]"))))) < 0)
+    assert [r.name for r in q.plan_cascade(d, (slow, never, always))] == ["always", "never", "slow"]
+    assert [r.name for r in q.plan_cascade(d.limit(0), (slow, never, always))] == ["slow", "never", "always"]
 
 
 def test_source_mix(docs, spark):
