@@ -1,18 +1,22 @@
-"""Language identification by interpolated Kneser-Ney character models.
+"""Language identification by interpolated Kneser-Ney character models that grow with the corpus.
 
-Training counts every word of every training row, per language: character n-grams of order ORDER inside a word that is padded with
-a boundary on both sides. All lower orders follow from the distinct n-grams, as Kneser-Ney asks (continuation counts). One discount per order comes
-from the counts of counts. The counts are summed by Spark with partial sums; what reaches the driver are at most MODEL_GRAMS n-grams of
-the highest order (the most frequent), so the model that is sent out is bounded while the counts behind it cover the whole corpus.
+Training counts every word of every training row, per language: character n-grams of order ORDER inside a word that is padded with boundaries. All lower
+orders follow from the distinct n-grams, as Kneser-Ney asks: an n-gram counts once for each character that comes before it; one that begins with a boundary,
+which nothing else comes before, keeps its own count. One discount per language and order comes from the counts of counts, over all n-grams. Counts, discounts
+and interpolated probabilities are Spark joins and aggregates; nothing is left out, and of the model only the languages, their alphabet's size and their discounts
+reach the driver.
 
-The model keeps, for each order, a sorted array of 64-bit n-gram hashes with the interpolated log-probability under every language and, for contexts, the
-back-off weights. A document gets the language with the lowest cross-entropy per character.
+Documents are packed into blocks (see `blockwise`). A block asks for the n-grams that it holds, once each; the answers are their log-probabilities under every
+language, found order by order: the probability of an n-gram that a language has, or else the context's back-off weight and the next lower order. The block keeps
+its answers as a sorted array of 64-bit n-gram hashes beside a matrix, and gives each document the language with the lowest cross-entropy per
+character. So a block's model is bounded by the block, whatever the model's size.
 
-The score is a calibrated probability that the language is right: a logistic fit of the margin between the best two
-languages on training rows (at most CALIBRATION_ROWS, by hash of the text). `rejected` marks scores below REJECT.
+The score is a calibrated probability that the language is right: a logistic fit of the margin between the best two languages. It is fitted on one of CALIBRATION training
+texts (by hash of the text), which the counts leave out, all of them, counted in bins of margin. `rejected` marks scores below REJECT.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; ties go to the first language by name; repeated rows repeat; an empty table
-gives an empty result; without training rows everything is `und`; language, source and id never enter a prediction.
+gives an empty result; without training rows everything is `und` with score 0; with one language the score is that of an endless margin; a null doc_id is an ordinary training row;
+language, source and id never enter a prediction.
 """
 
 from __future__ import annotations
@@ -25,19 +29,23 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from nodetide.llm import blockwise
 from nodetide.llm.common import cut
 
 ORDER = 4
-MODEL_GRAMS = 300_000
-CALIBRATION_ROWS = 2000
+#: One of so many training texts calibrates the score and isn't counted.
+CALIBRATION = 16
 REJECT = 0.5
-#: Words that a worker remembers with their scores.
-MEMORY = 200_000
-#: Distinct words that a training task holds before it passes its counts on.
-BATCH_WORDS = 200_000
+BLOCK_BYTES = 8 << 20
+#: Margins are counted in bins of this width, in nats a character, up to so many bins.
+BIN, BINS = 0.002, 2000
+#: Slope and offset of the score before any row calibrates it; they weigh as much as a few rows.
+PRIOR = (40.0, 0.0)
 EDGE = "\x00"
+UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -50,229 +58,224 @@ def words_of(text: str | None) -> list[str]:
     return _LETTERS.findall((text or "").lower())
 
 
-def _grams(words: list[str], n: int) -> list[str]:
-    """n-grams of a padded word, the first ones shorter histories padded by more boundaries."""
-    return [p[i : i + n] for w in words for p in (EDGE * (n - 1) + w + EDGE,) for i in range(len(p) - n + 1)]
+def grams_of(word: str, n: int = ORDER) -> list[str]:
+    """The n-grams of a padded word, one for each letter and one for its end."""
+    p = EDGE * (n - 1) + word + EDGE
+    return [p[i : i + n] for i in range(len(word) + 1)]
 
 
-def count_grams(train: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, gram, n) over all words of train(lang, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Counter] = {}
+def _hash(grams: list[str]) -> np.ndarray:
+    from xxhash import xxh3_64_intdigest
 
-        def out():
-            for lang, counts in held.items():
-                total: Counter = Counter()
-                for w, c in counts.items():
-                    for g in _grams([w], order):
-                        total[g] += c
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(total), pa.string()), pa.array([g.encode() for g in total], pa.binary()), pa.array(list(total.values()), pa.int64())], ["lang", "gram", "n"])
-            held.clear()
+    return np.fromiter((xxh3_64_intdigest(g.encode("utf-8", "surrogatepass")) for g in grams), np.uint64, len(grams)).view(np.int64)
 
-        for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-                held.setdefault(lang, Counter()).update(words_of(text.as_py()))
-                if sum(map(len, held.values())) > BATCH_WORDS:
-                    yield from out()
-        yield from out()
 
-    return train.select("lang", "text").mapInArrow(run, "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+# ---- counting and the model ----------------------------------------------------------------------------
 
 
-def _hash(grams: list[str]) -> np.ndarray:
-    from xxhash import xxh3_64_intdigest
+def count_grams(blocks: DataFrame, order: int = ORDER) -> DataFrame:
+    """(block, gram, h, counts: its count per language in the block's training rows), a row for each n-gram of a block."""
 
-    return np.fromiter((xxh3_64_intdigest(g.encode("utf-8", "surrogatepass")) for g in grams), np.uint64, len(grams))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("rows"), strict=True):
+                rows = blockwise.unpack(data.as_py())
+                words: dict[str | None, Counter] = {}
+                for lang, text in zip(rows.column("learn").to_pylist(), rows.column("text"), strict=True):
+                    words.setdefault(lang, Counter()).update(words_of(text.as_py()))
+                found: dict[str, dict[str, int]] = {}
+                for lang, counts in words.items():
+                    for w, c in counts.items():
+                        for g in grams_of(w, order):
+                            held = found.setdefault(g, {})
+                            if lang is not None:
+                                held[lang] = held.get(lang, 0) + c
+                grams = list(found)
+                maps = pa.array([list(x.items()) for x in found.values()], pa.map_(pa.string(), pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(grams), pa.int64()), pa.array(grams, pa.string()), pa.array(_hash(grams)), maps], ["block", "gram", "h", "counts"])
+
+    return blocks.select("block", "rows").mapInArrow(run, "block long, gram string, h long, counts map<string,long>")
+
+
+def levels(grams: DataFrame, order: int = ORDER) -> list[DataFrame]:
+    """(lang, gram, c) of the orders 1 to `order`, from (lang, gram, c) of the highest."""
+    out = [grams]
+    for n in range(order - 1, 0, -1):
+        above = out[0]
+        tail = F.substring("gram", 2, n)
+        begins = (F.substring("gram", 1, 1) == EDGE) & (F.substring("gram", 2, 1) == EDGE)
+        out.insert(0, cut(above.groupBy("lang", tail.alias("gram")).agg(F.sum(F.when(begins, F.col("c")).otherwise(1)).alias("c")), f"order{n}"))
+    return out
 
 
 @dataclass
 class Model:
-    """languages; per order from 1 on: sorted hashes, log-probabilities [grams, languages]; sorted context hashes, log back-off weights."""
+    """languages; log-probability of a character that no language knows (one for each); per order (gram, p: map of language number to log-probability) and, from
+    order 2 on, (context, w: map of language number to log back-off weight)."""
 
     order: int
     languages: list[str]
-    grams: list[tuple[np.ndarray, np.ndarray]]
-    contexts: list[tuple[np.ndarray, np.ndarray]]
-    floor: np.ndarray
-    slope: float = 40.0
-    offset: float = 0.0
-
-    def _find(self, table, h):
-        keys, values = table
-        if not len(keys):
-            return np.zeros(len(h), bool), np.zeros((len(h), len(self.languages)))
-        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        return keys[at] == h, values[at]
-
-    def log_probability(self, grams: list[str]) -> np.ndarray:
-        """[grams, languages], of the last character after the others."""
-        out = np.zeros((len(grams), len(self.languages)))
-        open_, spent = np.arange(len(grams)), np.zeros((len(grams), len(self.languages)))
-        for n in range(self.order, 0, -1):
-            part = [grams[i][self.order - n :] for i in open_.tolist()]
-            hit, value = self._find(self.grams[n - 1], _hash(part))
-            out[open_[hit]] = spent[open_[hit]] + value[hit]
-            open_ = open_[~hit]
-            if n > 1 and len(open_):
-                known, weight = self._find(self.contexts[n - 1], _hash([g[:-1] for g, x in zip(part, hit.tolist(), strict=True) if not x]))
-                spent[open_] += np.where(known[:, None], weight, 0.0)
-        out[open_] = spent[open_] + self.floor
-        return out
-
-    def words(self, words: list[str]) -> np.ndarray:
-        """[words, languages]: sums of log-probabilities; a word has one character more than its letters, the boundary."""
-        per = [_grams([w], self.order) for w in words]
-        sizes = np.array([len(p) for p in per])
-        flat = [g for p in per for g in p]
-        distinct = list(dict.fromkeys(flat))
-        place = {g: i for i, g in enumerate(distinct)}
-        lp = self.log_probability(distinct)[[place[g] for g in flat]]
-        return np.add.reduceat(lp, np.cumsum(sizes) - sizes, axis=0)
-
-
-def fit(rows: list[tuple[str, str, int]], order: int = ORDER) -> Model:
-    """A model from (language, gram, count) of the highest order."""
-    languages = sorted({r[0] for r in rows})
-    of = {x: i for i, x in enumerate(languages)}
-    # Counts by order: gram -> one count per language. Below the top these are numbers of distinct one-character extensions to the left.
-    levels: list[dict[str, np.ndarray]] = [{} for _ in range(order)]
-    for lang, g, n in rows:
-        levels[-1].setdefault(g, np.zeros(len(languages)))[of[lang]] += n
-    for n in range(order - 1, 0, -1):
-        for g, c in levels[n].items():
-            levels[n - 1].setdefault(g[1:], np.zeros(len(languages)))[:] += c > 0
-    alphabet = max(1, len(levels[0]))
-    grams, contexts = [], [(np.zeros(0, np.uint64), np.zeros((0, len(languages))))]
-    # An unseen character: one of as many as the alphabet has, with the discounted mass.
-    lower: dict[str, np.ndarray] = {}
-    floor = np.log(np.full(len(languages), 1.0 / (alphabet + 1)))
-    for n in range(1, order + 1):
-        level = levels[n - 1]
-        names = list(level)
-        c = np.array([level[g] for g in names]).reshape(len(names), len(languages))
-        one, two = (c == 1).sum(0), (c == 2).sum(0)
-        discount = np.where(one + 2 * two > 0, one / np.maximum(one + 2 * two, 1), 0.5)
-        discount = np.clip(discount, 0.1, 0.9)
-        context = [g[:-1] for g in names]
-        distinct = list(dict.fromkeys(context))
-        place = {g: i for i, g in enumerate(distinct)}
-        at = np.array([place[g] for g in context], np.int64)
-        total, kinds = np.zeros((len(distinct), len(languages))), np.zeros((len(distinct), len(languages)))
-        np.add.at(total, at, c)
-        np.add.at(kinds, at, c > 0)
-        weight = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
-        below = np.array([np.exp(floor) if n == 1 else lower[g[1:]] for g in names]).reshape(c.shape)
-        p = np.where(total[at] > 0, np.maximum(c - discount, 0) / np.maximum(total[at], 1), 0) + weight[at] * below
-        lower = dict(zip(names, p, strict=True))
-        if n == 1:
-            floor = floor + np.log(weight[0]) if len(weight) else floor
-        h = _hash(names)
-        o = np.argsort(h)
-        grams.append((h[o], np.log(p[o])))
+    floor: list[float]
+    grams: list[DataFrame]
+    contexts: list[DataFrame | None]
+
+
+def fit(grams: DataFrame, order: int = ORDER) -> Model:
+    """The model of (lang, gram, c) of the highest order."""
+    spark = grams.sparkSession
+    level = levels(grams, order)
+    names = [r.lang for r in level[0].select("lang").distinct().orderBy("lang").collect()]  # a row for each language
+    alphabet = level[0].select("gram").distinct().count()  # of characters
+    uniform = -float(np.log(alphabet + 1))
+    if not names:
+        return Model(order, [], [], [], [])
+    codes = F.broadcast(spark.createDataFrame(list(enumerate(names)), "l int, lang string"))
+    floor, tables, contexts = [uniform] * len(names), [], []
+    below: DataFrame | None = None
+    for n, rows in enumerate(level, 1):
+        rows = rows.join(codes, "lang").select("l", "gram", F.col("c").cast("double").alias("c"), F.substring("gram", 1, n - 1).alias("context"))
+        kinds = {r.l: (r.one, r.two) for r in rows.groupBy("l").agg(F.count_if(F.col("c") == 1).alias("one"), F.count_if(F.col("c") == 2).alias("two")).collect()}
+        # One discount a language: n1 / (n1 + 2 n2) over all its n-grams of this order; half a count where there are no such n-grams.
+        discount = {k: min(max(one / (one + 2 * two), 0.1), 0.9) if one + two else 0.5 for k, (one, two) in kinds.items()}
+        d = F.element_at(F.create_map(*[F.lit(x) for k, v in discount.items() for x in (k, v)]), F.col("l"))
+        same = W.partitionBy("l", "context")  # no more rows than there are characters
+        rows = rows.withColumn("total", F.sum("c").over(same)).withColumn("w", d * F.count("*").over(same) / F.col("total"))
+        lower = F.lit(float(np.exp(uniform)))
         if n > 1:
-            h = _hash(distinct)
-            o = np.argsort(h)
-            contexts.append((h[o], np.log(weight[o])))
-    return Model(order, languages, grams, contexts, floor)
+            rows = rows.withColumn("tail", F.substring("gram", 2, n - 1)).join(below.select("l", F.col("gram").alias("tail"), F.col("p").alias("q")), ["l", "tail"])
+            lower = F.col("q")
+        below = cut(rows.select("l", "gram", "context", "w", ((F.col("c") - d) / F.col("total") + F.col("w") * lower).alias("p")), f"p{n}")
+        if n == 1:
+            weight = {r.l: r.w for r in below.select("l", "w").distinct().collect()}  # a row for each language
+            floor = [uniform + float(np.log(weight[k])) for k in range(len(names))]
+        tables.append(below.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("l", F.log("p")))).alias("p")))
+        contexts.append(None if n == 1 else below.groupBy("context", "l").agg(F.first("w").alias("w")).groupBy("context").agg(F.map_from_entries(F.collect_list(F.struct("l", F.log("w")))).alias("w")))
+    return Model(order, names, floor, tables, contexts)
+
+
+def look_up(asked: DataFrame, model: Model) -> DataFrame:
+    """(gram, p: array of one log-probability per language, of its last character after the others) of distinct asked(gram) of the highest order."""
+    size = len(model.languages)
+    every = F.sequence(F.lit(0), F.lit(size - 1))
+    found: DataFrame | None = None
+    for n in range(1, model.order + 1):
+        # A tail of all n-grams asked for: what a lower order is asked.
+        wanted = asked.select(F.substring("gram", model.order - n + 1, n).alias("gram")).distinct()
+        held = wanted.join(model.grams[n - 1], "gram", "left")
+        if n == 1:
+            floor = F.array(*map(F.lit, model.floor))
+            found = held.select("gram", F.transform(every, lambda l: F.coalesce(F.element_at("p", l), F.get(floor, l))).alias("p"))  # noqa: E741
+        else:
+            own = held.withColumns({"context": F.substring("gram", 1, n - 1), "tail": F.substring("gram", 2, n - 1)})
+            own = own.join(model.contexts[n - 1], "context", "left").join(found.select(F.col("gram").alias("tail"), F.col("p").alias("q")), "tail")
+            value = lambda l: F.coalesce(F.element_at("p", l), F.coalesce(F.element_at("w", l), F.lit(0.0)) + F.get(F.col("q"), l))  # noqa: E731, E741
+            found = own.select("gram", F.transform(every, value).alias("p"))
+    return found
+
+
+# ---- scoring -------------------------------------------------------------------------------------------
+
+
+def word_scores(words: list[str], keys: np.ndarray, table: np.ndarray, order: int) -> np.ndarray:
+    """[words, languages]: sums of log-probabilities; keys are the sorted hashes of n-grams, table their rows."""
+    per = [grams_of(w, order) for w in words]
+    sizes = np.fromiter(map(len, per), np.int64, len(per))
+    flat = [g for p in per for g in p]
+    distinct = list(dict.fromkeys(flat))
+    place = dict(zip(distinct, np.searchsorted(keys, _hash(distinct)).tolist(), strict=True))
+    at = np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))
+    return np.add.reduceat(table[at], np.cumsum(sizes) - sizes, axis=0)
 
 
-def _compare(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Of each text: [texts, languages] cross-entropy per character, and its characters."""
+def cross_entropies(texts: pa.Array, keys: np.ndarray, table: np.ndarray, order: int, languages: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text: [texts, languages] cross-entropy per character, and its characters (a word has one more than its letters, its end)."""
     known: dict[str, int] = {}
-    table = np.zeros((1024, len(model.languages)))
-    for batch in batches:
-        found = [words_of(t.as_py()) for t in batch.column("text")]
-        if len(known) > MEMORY:
-            known.clear()
+    scores = np.zeros((0, languages))
+    entropy, size = np.zeros((len(texts), languages)), np.zeros(len(texts))
+    step = 64
+    for lo in range(0, len(texts), step):
+        found = [words_of(t.as_py()) for t in texts[lo : lo + step]]
         new = [w for w in dict.fromkeys(w for ws in found for w in ws) if w not in known]
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
+        if new:
             begin = len(known)
-            if begin + len(part) > len(table):
-                table = np.concatenate((table, np.zeros((max(len(table), len(part)), len(model.languages)))))
-            table[begin : begin + len(part)] = model.words(part)
-            known.update(zip(part, range(begin, begin + len(part)), strict=True))
-        entropy, size = np.zeros((len(found), len(model.languages))), np.zeros(len(found))
-        for i, ws in enumerate(found):
+            if begin + len(new) > len(scores):
+                scores = np.concatenate((scores, np.zeros((max(len(scores), len(new), 1024), languages))))
+            scores[begin : begin + len(new)] = word_scores(new, keys, table, order)
+            known.update(zip(new, range(begin, begin + len(new)), strict=True))
+        for i, ws in enumerate(found, lo):
             if ws:
                 size[i] = sum(map(len, ws)) + len(ws)
-                entropy[i] = -table[np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))].sum(0) / size[i]
-        yield batch, entropy, size
+                entropy[i] = -scores[np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))].sum(0) / size[i]
+    return entropy, size
 
 
-def _margin(entropy: np.ndarray, size: np.ndarray) -> np.ndarray:
+def margins(entropy: np.ndarray, size: np.ndarray) -> np.ndarray:
     """How much lower the best language is than the second, in nats a character, shrunk for short texts."""
     if entropy.shape[1] < 2:
-        return np.ones(len(entropy))
+        return np.full(len(entropy), BIN * BINS)
     two = np.partition(entropy, 1, axis=1)
     return (two[:, 1] - two[:, 0]) * np.sqrt(size / (size + 20.0))
 
 
-def calibrate(model: Model, rows: DataFrame) -> None:
-    """Fits slope and offset of P(right | margin) on at most CALIBRATION_ROWS rows (lang, text)."""
-    # First the hash up to which texts are taken, then those texts: no task sends more than it has of them.
-    hashed = rows.withColumn("h", F.xxhash64("text"))
-    last = hashed.select("h").distinct().orderBy("h").limit(CALIBRATION_ROWS).agg(F.max("h")).first()[0]
-    taken = hashed.filter(F.col("h") <= last).select("lang", "text").distinct() if last is not None else hashed.limit(0)
-    got = [(r.lang, r.text) for r in taken.limit(CALIBRATION_ROWS).collect()]
-    if not got or len(model.languages) < 2:
-        return
-    batch = pa.RecordBatch.from_pydict({"text": pa.array([t for _, t in got], pa.string())})
-    _, entropy, size = next(_compare(iter([batch]), model))
-    use = size > 0
-    x = _margin(entropy, size)[use]
-    y = np.array([model.languages[k] == lang for k, (lang, _) in zip(entropy.argmin(1).tolist(), got, strict=True)])[use].astype(float)
-    # Newton steps with a small penalty; soft targets keep the fit finite when all are right.
-    y = y * 0.998 + 0.001
-    design, beta = np.column_stack((x * 10, np.ones(len(x)))), np.zeros(2)
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        h = design.T @ (design * (p * (1 - p))[:, None]) + 1e-2 * np.eye(2)
-        beta += np.linalg.solve(h, design.T @ (y - p) - 1e-2 * beta)
-    if beta[0] > 0:
-        model.slope, model.offset = float(beta[0] * 10), float(beta[1])
-
-
-def _most_frequent(grams: DataFrame, most: int) -> DataFrame:
-    """The n-grams above the least count that at most `most` reach, counts taken in sixteenths of a power of two; each task sends only those it holds."""
-    size = F.floor(F.log2("n") * 16)
-    cutoff, total = None, 0
-    for r in grams.groupBy(size.alias("size")).agg(F.count("*").alias("k")).orderBy(F.desc("size")).collect():  # a thousand rows at most
-        total += r.k
-        if total > most:
-            break
-        cutoff = r["size"]
-    return grams.filter(size >= cutoff) if cutoff is not None else grams.limit(0)
-
-
-def train(rows: DataFrame, order: int = ORDER, most: int = MODEL_GRAMS) -> Model:
-    """A calibrated model from all rows of (lang, text) with both."""
-    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    model = fit([(r.lang, bytes(r.gram).decode("utf-8", "surrogatepass"), r.n) for r in _most_frequent(cut(count_grams(rows, order), "grams"), most).collect()], order)
-    calibrate(model, rows)
-    return model
-
-
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score, cross_entropy and rejected of each row (doc_id, text); a column held_out passes."""
-    more = [c for c in docs.columns if c == "held_out"]
-    d = docs.select("doc_id", "text", *more)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # MODEL_GRAMS bounds it
+def compare(blocks: DataFrame, answers: DataFrame, model: Model, columns: dict[str, str]) -> DataFrame:
+    """`columns` (names and types) of every row of the blocks, with best (language number, -1 for none), margin and cross_entropy; answers(block, h, p)."""
+    order, languages = model.order, len(model.languages)
+    own = answers.groupBy("block").agg(F.collect_list(F.struct("h", "p")).alias("got"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        for b, entropy, size in _compare(batches, m) if m.languages else ((b, np.zeros((b.num_rows, 1)), np.zeros(b.num_rows)) for b in batches):
-            score = np.where(size > 0, 1 / (1 + np.exp(-np.clip(m.slope * _margin(entropy, size) + m.offset, -40, 40))), 0.0)
-            names = [m.languages[k] if s else "und" for k, s in zip(entropy.argmin(1).tolist(), size.tolist(), strict=True)]
-            best = np.where(size > 0, entropy.min(1), np.nan)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(b.column(c) for c in more), pa.array(names, pa.string()), pa.array(score), pa.array(best), pa.array(score < REJECT)], ["doc_id", *more, "lang_pred", "score", "cross_entropy", "rejected"])
-
-    kind = d.schema["doc_id"].dataType.simpleString()
-    return d.mapInArrow(run, f"doc_id {kind}, " + "held_out boolean, " * len(more) + "lang_pred string, score double, cross_entropy double, rejected boolean")
-
-
-def predict_documents(docs: DataFrame) -> DataFrame:
-    """Trains on the rows that are not held out and predicts all."""
-    model = train(docs.filter(~held_out(F.col("doc_id"))).select("lang", "text"))
-    return identify(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")), model)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rows = blockwise.unpack(batch.column("rows")[i].as_py())
+                got = batch.column("got")[i].values
+                keys, table = np.zeros(0, np.int64), np.zeros((0, languages))
+                if got is not None and len(got):
+                    keys = got.field("h").to_numpy(zero_copy_only=False)
+                    table = got.field("p").flatten().to_numpy(zero_copy_only=False).reshape(len(keys), languages)
+                    at = np.argsort(keys)
+                    keys, table = keys[at], table[at]
+                entropy, size = cross_entropies(rows.column("text"), keys, table, order, languages)
+                best = np.where(size > 0, entropy.argmin(1), -1)
+                cross = pa.array(np.where(size > 0, entropy.min(1), np.nan), mask=size == 0)
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in columns), pa.array(best, pa.int32()), pa.array(np.where(size > 0, margins(entropy, size), 0.0)), cross], [*columns, "best", "margin", "cross_entropy"])
+
+    met = blocks.join(own.hint("shuffle_hash"), "block", "left").select("rows", "got")
+    return met.mapInArrow(run, ", ".join(f"{c} {kind}" for c, kind in columns.items()) + ", best int, margin double, cross_entropy double")
+
+
+def calibrate(counted: list[tuple[int, int, int]]) -> tuple[float, float]:
+    """Slope and offset of P(right | margin) from (bin, rows, right rows), with a weak pull to PRIOR."""
+    x = np.array([(b + 0.5) * BIN for b, _, _ in counted])
+    n, y = np.array([r for _, r, _ in counted], float), np.array([r for _, _, r in counted], float)
+    design = np.column_stack((x * 10, np.ones(len(x)))) if len(x) else np.zeros((0, 2))
+    prior = np.array([PRIOR[0] / 10, PRIOR[1]])
+    beta, penalty = prior.copy(), np.diag([0.05, 0.5])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
+        h = design.T @ (design * (n * p * (1 - p))[:, None]) + penalty
+        beta += np.clip(np.linalg.solve(h, design.T @ (y - n * p) - penalty @ (beta - prior)), -5, 5)
+    return (float(beta[0] * 10), float(beta[1])) if beta[0] > 0 else PRIOR
+
+
+def predict_documents(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, cross_entropy and rejected of each row; trains on the rows that are not held out and have a language and a text."""
+    out = held_out(F.col("doc_id"))
+    truth = F.when(~out & F.col("text").isNotNull(), F.col("lang"))
+    sets_score = F.pmod(F.xxhash64("text"), F.lit(CALIBRATION)) == 0
+    d = docs.select("doc_id", F.col("text").cast("string").alias("text"), out.alias("held_out"), F.when(~sets_score, truth).alias("learn"), F.when(sets_score, truth).alias("truth"))
+    blocks, _ = blockwise.pack(d, block_bytes=block_bytes)
+    counted = cut(count_grams(blocks, order), "grams")
+    learnt = cut(counted.select("gram", F.explode("counts").alias("lang", "n")).groupBy("lang", "gram").agg(F.sum("n").alias("c")), "learnt")
+    model = fit(learnt, order)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    if not model.languages:
+        return docs.select("doc_id", out.alias("held_out"), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(True).alias("rejected"))
+    found = look_up(counted.select("gram").distinct(), model)
+    answers = counted.select("block", "gram", "h").join(found, "gram").select("block", "h", "p")
+    judged = cut(compare(blocks, answers, model, {"doc_id": kind, "held_out": "boolean", "truth": "string"}), "judged")
+    names = F.array(*map(F.lit, model.languages))
+    named = F.get(names, F.col("best"))
+    bins = judged.filter("truth IS NOT NULL AND best >= 0").groupBy(F.least(F.floor(F.col("margin") / BIN), F.lit(BINS - 1)).alias("bin")).agg(F.count("*").alias("n"), F.count_if(named == F.col("truth")).alias("right"))
+    slope, offset = calibrate([(r.bin, r.n, r.right) for r in bins.collect()])  # BINS rows at most
+    chance = 1 / (1 + F.exp(-(F.lit(slope) * F.col("margin") + offset)))
+    score = F.when(F.col("best") < 0, 0.0).otherwise(chance)
+    return judged.select("doc_id", "held_out", F.when(F.col("best") < 0, UNKNOWN).otherwise(named).alias("lang_pred"), score.alias("score"), "cross_entropy", (score < REJECT).alias("rejected"))

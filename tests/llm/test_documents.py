@@ -211,21 +211,105 @@ def test_language_id(spark):
     assert language_id.predict_documents(d.limit(0)).count() == 0
 
 
-def test_kneser_ney_sums_to_one():
+def kneser_ney(words, order, alphabet):
+    """p(character | history) by the textbook: recursive, over Counters. words: a list with repeats."""
+    from collections import Counter
+
+    levels = [Counter() for _ in range(order + 1)]
+    for w in words:
+        p = "\0" * (order - 1) + w + "\0"
+        levels[order].update(p[i : i + order] for i in range(len(w) + 1))
+    for n in range(order - 1, 0, -1):
+        for g, c in levels[n + 1].items():
+            levels[n][g[1:]] += c if g[:2] == "\0\0" else 1
+    discounts = [0.0]
+    for n in range(1, order + 1):
+        one, two = (sum(c == k for c in levels[n].values()) for k in (1, 2))
+        discounts.append(min(max(one / (one + 2 * two), 0.1), 0.9) if one + two else 0.5)
+
+    def p(c, history):
+        n = len(history) + 1
+        lower = p(c, history[1:]) if history else 1 / (alphabet + 1)
+        follow = {g: k for g, k in levels[n].items() if g[:-1] == history}
+        if not follow:
+            return lower
+        total = sum(follow.values())
+        return max(follow.get(history + c, 0) - discounts[n], 0) / total + discounts[n] * len(follow) / total * lower
+
+    return p
+
+
+def test_kneser_ney_against_brute_force(spark):
+    import math
+
+    from nodetide.llm import language_id as L
+
+    rng = random.Random(6)
+    say = lambda cs: "".join(rng.choice(cs) for _ in range(rng.randint(1, 6)))
+    words = {"a": [say("theno") for _ in range(80)], "b": [say("zoüβ") for _ in range(30)] + ["zoo"] * 9, "c": ["x"]}
+    rows = [(k, g) for k, ws in words.items() for w in ws for g in L.grams_of(w, 3)]
+    grams = spark.createDataFrame(rows, "lang string, gram string").groupBy("lang", "gram").agg(__import__("pyspark.sql.functions", fromlist=["count"]).count("*").alias("c"))
+    model = L.fit(grams, 3)
+    alphabet = sorted({g[-1] for _, g in rows})
+    asked = [h + c for h in ("\0\0", "\0t", "th", "he", "zo", "qq", "\0q", "qo") for c in [*alphabet, "?"]]
+    found = {r.gram: r.p for r in L.look_up(spark.createDataFrame([(g,) for g in asked], "gram string").distinct(), model).collect()}
+    assert model.languages == ["a", "b", "c"]
+    for k, lang in enumerate(model.languages):
+        p = kneser_ney(words[lang], 3, len(alphabet))
+        for g in asked:
+            assert abs(math.exp(found[g][k]) - p(g[-1], g[:-1])) < 1e-9, (lang, g)
+        for h in {g[:-1] for g in asked}:
+            assert abs(sum(math.exp(found[h + c][k]) for c in [*alphabet, "?"]) - 1) < 1e-9
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 500])
+def test_language_entropies_against_brute_force(spark, block_bytes):
+    import math
+
     import numpy as np
 
     from nodetide.llm import language_id as L
 
-    words = {"a": ["the", "then", "hen"], "b": ["zoo", "oz"]}
-    grams = {}
-    for k, ws in words.items():
-        for g in L._grams(ws, 3):
-            grams[k, g] = grams.get((k, g), 0) + 1
-    m = L.fit([(k, g, n) for (k, g), n in grams.items()], 3)
-    alphabet = sorted({g[-1] for _, g in grams})
-    for context in ("\0\0", "\0t", "th", "he"):
-        p = np.exp(m.log_probability([context + c for c in alphabet])).sum(0)
-        assert (p > 0.75).all() and (p <= 1 + 1e-6).all()  # the rest is for unseen characters
+    rng = random.Random(7)
+    rows = [(i, " ".join("".join(rng.choice(cs) for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(1, 30))), k) for i in range(60) for k, cs in (("xx", "abc"), ("yy", "bcd"))]
+    rows += [(70, rows[0][1], "xx"), (70, rows[0][1], "xx"), (71, "Ab ba " * 20_000, "xx"), (None, "dd cc", "yy"), (72, None, "yy"), (73, "", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    calibrates = {r.text for r in d.selectExpr("text", f"pmod(xxhash64(text), {L.CALIBRATION}) = 0 AS c").filter("c").collect()}
+    out = {(r.doc_id, r.lang_pred): r for r in L.predict_documents(d, block_bytes=block_bytes).collect()}
+    import zlib
+
+    train = {"xx": [], "yy": []}
+    for i, t, k in rows:
+        if k and t is not None and t not in calibrates and not (i is not None and zlib.crc32(str(i).encode()) % 4 == 2):
+            train[k] += L.words_of(t)
+    alphabet = len({c for ws in train.values() for w in ws for c in w}) + 1
+    models = {k: kneser_ney(ws, L.ORDER, alphabet) for k, ws in train.items()}
+    memo = {}
+
+    def entropy(t, k):
+        ps = [(g[-1], g[:-1]) for w in L.words_of(t) for g in L.grams_of(w)]
+        return -sum(memo.setdefault((k, x), math.log(models[k](*x))) for x in ps) / len(ps)
+
+    checked = 0
+    for i, t, _ in rows:
+        if t and (i in (70, 71, None) or i < 12):
+            e = {k: entropy(t, k) for k in models}
+            best = min(sorted(e), key=e.get)
+            assert any(r[0] == i and r[1] == best and abs(x.cross_entropy - e[best]) < 1e-6 for r, x in out.items()), (i, e)
+            checked += 1
+    assert checked > 20 and out[72, "und"].score == 0 and out[72, "und"].cross_entropy is None and out[73, "und"].rejected
+    assert all(np.isfinite(r.score) and 0 <= r.score <= 1 for r in out.values())
+
+
+def test_language_without_training_rows_and_ties(spark):
+    from nodetide.llm import language_id as L
+
+    d = spark.createDataFrame([(1, "one two", None), (2, None, "en"), (3, "a", None)], "doc_id long, text string, lang string")
+    assert {(r.lang_pred, r.score) for r in L.predict_documents(d).collect()} == {("und", 0.0)}
+    same = spark.createDataFrame([(i, f"abc cab {j}", k) for i, j in enumerate(range(40)) for k in ("zz", "aa")], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in L.predict_documents(same).collect()} == {"aa"}
+    one = spark.createDataFrame([(i, "abc " * (i + 1), "aa") for i in range(9)], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in L.predict_documents(one).collect()} == {"aa"}
 
 
 def test_quality_classifier(spark):
