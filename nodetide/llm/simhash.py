@@ -9,9 +9,9 @@ For distance 2 that is 0, 0, 1, 1, 2: the first two segments of the chain are eq
 prunes before the whole Hamming distance is taken.
 
 Only distinct fingerprints are compared, so copies cost nothing, and a group gives a spanning forest of its links, never all pairs.
-A group of more than SMALL_GROUP fingerprints isn't compared pairwise at all: each member there is spread to all values within
-distance 1 of it, and members that meet at a value are within distance 2 of each other, which links exactly the same pairs through
-the smallest member at each value (65 rows a fingerprint, split over all tasks by value).
+A group of more than SMALL_GROUP fingerprints is split along the ring: its next two segments differ in at most one bit together, so a pair
+that the chain lets through agrees in one of them, and the group goes on as groups by either (38 or 39 equal bits). What is still too large is dealt into
+cells of two blocks of at most SMALL_GROUP members, every two blocks meeting in one cell: no task holds a large group, and the same pairs link.
 
 Defined cases: a null or blank text has no shingles and fingerprint zero, which links like any other; fewer words than a shingle
 make one shingle of all of them; a null doc_id takes part and names a component only if nothing else does; repeated rows are in one component; an empty
@@ -34,6 +34,16 @@ DISTANCE = 2
 SMALL_GROUP = 256
 
 
+def majority(h) -> int:
+    """The fingerprint of shingle hashes (array of unsigned): a bit is set if it is in over half of them."""
+    import numpy as np
+
+    total = np.zeros(64, np.int64)
+    for i in range(0, len(h), 1 << 14):
+        total += np.unpackbits(h[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(h), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: str | None, shingle: int) -> int:
     """The unsigned fingerprint of one text."""
     import numpy as np
@@ -48,13 +58,8 @@ def fingerprint(text: str | None, shingle: int) -> int:
     ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
     begins = np.concatenate(([0], ends[:-1] + 1))
     n = len(w) - shingle + 1
-    total = np.zeros(64, np.int64)
     cuts = zip(begins[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)
-    h = np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in cuts), np.uint64, n)
-    for i in range(0, n, 1 << 14):
-        part = h[i : i + (1 << 14)]
-        total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return sum(1 << b for b in np.flatnonzero(2 * total > n).tolist())
+    return majority(np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in cuts), np.uint64, n))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -81,11 +86,6 @@ def ring_keys(fp: Column) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("k"), F.shiftleft(_segment(fp, k), 13).bitwiseOR(_segment(fp, k + 1)).alias("key")) for k in range(5)])
 
 
-def ball(fp: Column) -> Column:
-    """The fingerprint and the 64 values that differ from it in one bit."""
-    return F.array(fp, *[fp.bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)])
-
-
 def close(x, k: int):
     """Of differences x (unsigned), whether the chain from segment k stays within its budgets and the whole within DISTANCE."""
     import numpy as np
@@ -102,14 +102,15 @@ def close(x, k: int):
 
 
 def _forest(rows: pa.RecordBatch) -> tuple[list[int], list[int]]:
-    """Links of each group (ring position k, list fps) that join two trees of its forest."""
+    """Links of each group (ring position k, list members of fp and block) that join two trees of its forest; of a cell of two blocks only pairs between them."""
     import numpy as np
 
     a, b = [], []
-    for k, fps in zip(rows.column("k").to_pylist(), rows.column("fps").to_pylist(), strict=True):
-        f = np.sort(np.array(fps, np.int64)).view(np.uint64)
-        if len(f) < 2:
-            continue
+    for k, members in zip(rows.column("k").to_pylist(), rows.column("members"), strict=True):
+        f, block = (members.values.field(c).to_numpy(zero_copy_only=False) for c in ("fp", "block"))
+        order = np.argsort(f)
+        f, block = f[order].view(np.uint64), block[order]
+        mixed = len(f) and block.min() != block.max()
         tree = list(range(len(f)))
 
         def root(i, tree=tree):
@@ -119,7 +120,10 @@ def _forest(rows: pa.RecordBatch) -> tuple[list[int], list[int]]:
             return i
 
         for i in range(len(f) - 1):
-            for j in np.flatnonzero(close(f[i + 1 :] ^ f[i], k)).tolist():
+            near = close(f[i + 1 :] ^ f[i], k)
+            if mixed:
+                near &= block[i + 1 :] != block[i]
+            for j in np.flatnonzero(near).tolist():
                 p, q = root(i), root(i + 1 + j)
                 if p != q:
                     tree[max(p, q)] = min(p, q)
@@ -128,27 +132,44 @@ def _forest(rows: pa.RecordBatch) -> tuple[list[int], list[int]]:
     return a, b
 
 
+def _next_segment(k: Column, step: int) -> Column:
+    """The segment `step` places after k."""
+    return F.get(F.array(*[_segment(F.col("fp"), i) for i in range(5)]), (k + step) % 5)
+
+
 def links(fps: DataFrame) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) whose components are those of all links at DISTANCE or less."""
-    keys = fps.select("fp", F.explode(ring_keys(F.col("fp"))).alias("x")).select("fp", F.col("x.k").alias("k"), F.col("x.key").alias("key"))
-    sizes = keys.groupBy("k", "key").count().filter("count > 1")
-    shared = keys.join(sizes, ["k", "key"])
+    keys = fps.select("fp", F.explode(ring_keys(F.col("fp"))).alias("x")).select("fp", F.col("x.k").alias("k"), F.col("x.key").cast("long").alias("key"))
+    sizes = keys.groupBy("k", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = cut(keys.join(sizes, ["k", "key"]), "shared")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = _forest(batch)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    small = shared.filter(F.col("count") <= SMALL_GROUP).groupBy("k", "key").agg(F.collect_list("fp").alias("fps")).select("k", "fps").mapInArrow(pairs, "a long, b long")
-    large = shared.filter(F.col("count") > SMALL_GROUP).select("fp").distinct()
-    balls = large.select("fp", F.explode(ball(F.col("fp"))).alias("at"))
-    meet = balls.groupBy("at").agg(F.min("fp").alias("a"), F.count_distinct("fp").alias("n")).filter("n > 1").select("at", "a")
-    near = balls.join(meet, "at").filter(F.col("fp") != F.col("a")).select("a", F.col("fp").alias("b"))
-    return small.unionByName(near).distinct()
+    def found(members: DataFrame, by: list[str]) -> DataFrame:
+        packed = members.groupBy(*by).agg(F.collect_list(F.struct("fp", "block")).alias("members"))
+        return packed.select("k", "members").mapInArrow(pairs, "a long, b long")
+
+    one = F.lit(0).alias("block")
+    out = found(shared.filter(F.col("n") <= SMALL_GROUP).select("k", "key", "fp", one), ["k", "key"])
+    large = shared.filter(F.col("n") > SMALL_GROUP)
+    if not large.limit(1).count():
+        return out.distinct()
+    sub = large.select("k", "key", "fp", F.explode(F.array(*[F.struct(F.lit(i).alias("at"), _next_segment(F.col("k"), i).alias("next")) for i in (2, 3)])).alias("x")).select("k", "key", "fp", "x.at", "x.next")
+    by = ["k", "key", "at", "next"]
+    sub = cut(sub.join(sub.groupBy(*by).agg(F.count("*").alias("n")).filter("n > 1"), by), "split")
+    out = out.unionByName(found(sub.filter(F.col("n") <= SMALL_GROUP).select(*by, "fp", one), by))
+    blocks = F.ceil(F.col("n") / SMALL_GROUP).cast("int")
+    dealt = sub.filter(F.col("n") > SMALL_GROUP).select(*by, "fp", blocks.alias("blocks"), F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("block"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = met.select(*by, F.least("block", "other").alias("c"), F.greatest("block", "other").alias("d"), "fp", "block")
+    return out.unionByName(found(cells, [*by, "c", "d"])).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for the nodes of edges(a, b), root being the least node of the component.
+    """(node, root) for the nodes of edges(a, b) but the roots; root is the least node of the component.
 
     Large-star and small-star steps alternate until neither changes an edge; each round is written to the shared folder."""
 
@@ -175,21 +196,12 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id: one row per input row."""
     prints = cut(fingerprints(docs, shingle, id_col, text), "simhash")
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    least = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "least")
     tree = components(links(least.select("fp")))
-    placed = least.join(tree, least.fp == tree.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """The rows of `docs` with the least doc_id of their component, one row each, in their own columns."""
-    return representatives(docs, near_duplicates(docs, shingle))
-
-
-def representatives(docs: DataFrame, classed: DataFrame) -> DataFrame:
-    """The rows of `docs` whose doc_id names its class in classed(doc_id, component_id), one row each, in their own columns."""
-    keep = classed.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("component_id").alias("_keep")).distinct()
-    held = docs.select(F.struct(*docs.columns).alias("_d"), "doc_id")
-    one = held.groupBy("doc_id").agg(F.first("_d").alias("_d")) if docs.groupBy("doc_id").count().filter("count > 1").limit(1).count() else held
-    return one.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep"))).select(*[F.col("_d")[c].alias(c) for c in docs.columns])
+    tree = tree.unionByName(tree.select(F.col("root").alias("node"), "root").distinct())
+    tree = cut(tree.join(least, F.col("node") == F.col("fp")).select("fp", "root", "least"), "tree")
+    # Written before they are joined, so that Spark can split the rows of a large component, or of a text that many share.
+    named = cut(tree.groupBy("root").agg(F.min("least").alias("component_id")), "components")
+    placed = tree.join(named, "root").select("fp", "component_id", F.lit(True).alias("_linked"))
+    held = cut(least.join(placed, "fp", "left").select("fp", F.when(F.col("_linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id")), "named")
+    return prints.join(held, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -51,25 +51,29 @@ def test_simhash(docs, small_group, monkeypatch):
     from nodetide.llm import simhash
 
     monkeypatch.setattr(simhash, "SMALL_GROUP", small_group)
+    none = docs.selectExpr("doc_id + 1000 AS doc_id", "text").filter("doc_id IN (1003, 1101)").selectExpr("CAST(NULL AS BIGINT) AS doc_id", "text")
+    named = {r.fingerprint: r.component_id for r in simhash.near_duplicates(docs.select("doc_id", "text").unionByName(none)).collect() if r.doc_id is None}
+    assert len(named) == 2 and None not in named.values()  # a row without an id is classed with its copies
     rows = sorted(make_rows(), key=lambda r: r[0])
     f = [fingerprint(t) for _, t in rows]
     c = classes(f, lambda a, b: (a ^ b).bit_count() <= 2)
     want = sorted((rows[i][0], f"{f[i]:016x}", rows[c[i]][0]) for i in range(len(rows)))
     assert sorted(map(tuple, simhash.near_duplicates(docs).collect())) == want
     assert simhash.near_duplicates(empty(docs)).count() == 0
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns and kept.count() == kept.select("doc_id").distinct().count()
 
 
-def test_pigeonring_links_every_close_pair(spark):
+@pytest.mark.parametrize("small_group", [256, 8, 1])
+def test_pigeonring_links_every_close_pair(spark, small_group, monkeypatch):
     from nodetide.llm import simhash
 
+    monkeypatch.setattr(simhash, "SMALL_GROUP", small_group)
     rng = random.Random(1)
     base = [rng.getrandbits(64) for _ in range(40)]
     f = set(base)
     for b in base:
         for _ in range(4):
             f.add(b ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)))
+    f |= {base[0] ^ sum(1 << rng.randrange(30, 64) for _ in range(rng.randint(1, 4))) for _ in range(60)}  # one large group
     f = sorted(x - (1 << 64) if x >> 63 else x for x in f)
     want = classes(f, lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 2)
     got = dict(map(tuple, simhash.components(simhash.links(spark.createDataFrame([(x,) for x in f], "fp long"))).collect()))
