@@ -31,7 +31,7 @@ def classes(n, linked):
 
 
 def test_wide_classes_and_recall(spark):
-    from nodetide.llm import wide_simhash as w
+    from nodetide.llm import near_texts as w
 
     rng = random.Random(9)
     vocab = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(900)]
@@ -51,28 +51,18 @@ def test_wide_classes_and_recall(spark):
     assert len({got[2 * i] for i in range(60)}) == 60  # nothing else is joined
 
 
-@pytest.mark.parametrize("small_group", [256, 1])
-def test_wide_links_against_all_pairs(spark, small_group, monkeypatch):
-    import numpy as np
-
+@pytest.mark.parametrize("small_group,block", [(256, 64), (1, 4)])
+def test_classes_against_all_pairs(spark, small_group, block, monkeypatch):
+    from nodetide.llm import near_texts as w
     from nodetide.llm import simhash
-    from nodetide.llm import wide_simhash as w
 
     monkeypatch.setattr(simhash, "SMALL_GROUP", small_group)
-    rows = [(i, t) for i, t in make_rows() if i not in (107, 108)]
-    f = [w.fingerprint(t).view(np.uint64) for _, t in rows]
-
-    def linked(i, j):
-        d = np.bitwise_count(f[i] ^ f[j])
-        return (d.min() <= 2 and d.sum() <= w.MOST) if small_group > 1 else d.min() <= 2
-
-    c = classes(len(rows), linked)
-    want = {i: min(rows[k][0] for k in range(len(rows)) if c[k] == c[n]) for n, (i, _) in enumerate(rows)}
-    got = dict(map(tuple, w.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
-    if small_group > 1:
-        assert got == want
-    else:  # large groups skip the last check, so they can only join more
-        assert all(got[i] <= want[i] for i in want)
+    monkeypatch.setattr(w, "BLOCK", block)
+    rows = make_rows() + [(None, make_rows()[3][1]), (None, "nothing like it " * 9)]
+    c = classes(len(rows), lambda i, j: jaccard(rows[i][1], rows[j][1]) >= 0.8)
+    want = sorted(((i, min((rows[k][0] for k in range(len(rows)) if c[k] == c[n] and rows[k][0] is not None), default=None)) for n, (i, _) in enumerate(rows)), key=str)
+    got = sorted(map(tuple, w.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()), key=str)
+    assert got == want
 
 
 def test_run(spark, tmp_path):
@@ -83,7 +73,6 @@ def test_run(spark, tmp_path):
     import corpus_pipeline as P
     import public_tokenizers
     from nodetide.llm import byte_bpe, source_mix
-    from nodetide.llm import wide_simhash as w
     from test_documents import WORD, repeat_words
     from test_substrings import brute
 
@@ -96,10 +85,8 @@ def test_run(spark, tmp_path):
         adj = sum(a == b for a, b in zip(ws, ws[1:]))
         if len(ws) >= 20 and 100 * repeat_words(ws) <= 30 * len(ws) and (len(lines) - len(set(lines))) * 2 <= len(lines) and adj * 10 <= 3 * len(ws):
             good.append((i, t))
-    f = [w.fingerprint(t).view(np.uint64) for _, t in good]
-    c = classes(len(good), lambda i, j: np.bitwise_count(f[i] ^ f[j]).min() <= 2 and np.bitwise_count(f[i] ^ f[j]).sum() <= w.MOST)
-    least = {k: min(good[j][0] for j in range(len(good)) if c[j] == k) for k in c}
-    one = [r for r, k in zip(good, c) if r[0] == least[k]]
+    c = classes(len(good), lambda i, j: jaccard(good[i][1], good[j][1]) >= 0.8)
+    one = [min((good[j] for j in range(len(good)) if c[j] == k), key=lambda r: (r[0] is None, r[0] or 0)) for k in sorted(set(c))]
     cut = []
     for (i, t), (_, u, gone) in zip(one, brute(one, lambda t: t.encode(), 50)):
         out, at = [], 0
@@ -126,17 +113,17 @@ def test_run(spark, tmp_path):
 
 
 def shingle_set(t):
-    x = (t or "").split()
-    return {tuple(x[k : k + 5]) for k in range(max(1, len(x) - 4))}
+    x = (t or "").encode().lower().split()
+    return {tuple(x[k : k + 5]) for k in range(max(1, len(x) - 4))} if x else set()
 
 
 def jaccard(t, u):
     a, b = shingle_set(t), shingle_set(u)
-    return len(a & b) / len(a | b)
+    return len(a & b) / len(a | b) if a or b else 1.0
 
 
 def test_wide_recall_of_block_edits(spark):
-    from nodetide.llm import wide_simhash as w
+    from nodetide.llm import near_texts as w
 
     rng = random.Random(10)
     vocab = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(2000)]
@@ -157,7 +144,7 @@ def test_wide_recall_of_block_edits(spark):
 @pytest.mark.parametrize("small_group", [256, 1])
 def test_wide_keeps_texts_of_one_frame_apart(spark, small_group, monkeypatch):
     from nodetide.llm import simhash
-    from nodetide.llm import wide_simhash as w
+    from nodetide.llm import near_texts as w
 
     monkeypatch.setattr(simhash, "SMALL_GROUP", small_group)
     monkeypatch.setattr(w, "BLOCK", 16, raising=False)
@@ -175,7 +162,7 @@ def test_wide_keeps_texts_of_one_frame_apart(spark, small_group, monkeypatch):
 
 
 def test_wide_checks_shingles(spark):
-    from nodetide.llm import wide_simhash as w
+    from nodetide.llm import near_texts as w
 
     rng = random.Random(12)
     vocab = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(500)]
@@ -191,7 +178,7 @@ def test_wide_checks_shingles(spark):
 
 
 def test_wide_keeps_a_row_of_each_class_whatever_its_id(spark):
-    from nodetide.llm import wide_simhash as w
+    from nodetide.llm import near_texts as w
 
     rng = random.Random(13)
     say = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(80))
