@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodetide.llm import byte_bpe, quality_rules, source_mix, suffix_dedup, wide_simhash
+from nodetide.llm import byte_bpe, near_texts, quality_rules, source_mix, suffix_dedup
 from nodetide.llm.common import cut
 
 #: Every leaf gives at most one epoch here, so no document comes twice.
@@ -28,7 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return wide_simhash.keep_one(docs)
+    return near_texts.keep_one(docs)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
