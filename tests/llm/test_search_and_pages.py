@@ -80,3 +80,76 @@ def test_cut_is_minimal():
         cost = lambda s: sum(max(0, -o) if x else max(0, o) for o, x in zip(odds, s)) + sum(w for i in range(n) for j, w in edges[i].items() if i < j and s[i] != s[j])
         best = min(cost(s) for s in itertools.product([False, True], repeat=n))
         assert cost(label(odds, edges)) <= best + 1e-9
+
+
+def test_pages_lose_no_text_to_case_or_quotes(spark):
+    from nodetide.llm import html_text as h
+
+    page = "<article><h1>" + "İ" * 60 + '</h1><SCRIPT>var a = "<p>";</Script ><p>First one, in full.</p><p title="a > b">Second one, in full.</p><p data-x=\'it"s\'>Third one, 1 < 2 in full.</p></article>'
+    assert h.extract(page).split("\n\n")[1:] == ["First one, in full.", "Second one, in full.", "Third one, 1 < 2 in full."]
+    assert h.extract('<article><p>Kept, all of it.</p><p>Cut off here <a href="x') == "Kept, all of it.\n\nCut off here"
+    assert h.extract('<div class="page no-sidebar has-nav"><p>An ordinary sentence of some length, about things.</p></div>').startswith("An ordinary")
+    d = spark.createDataFrame([(None, None, page), (None, "u", None), (7, "u", "<p>")], "page_id long, url string, html string")
+    assert sorted((r.n_chars for r in h.extract_pages(d).collect())) == [0, 0, len(h.extract(page))]
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a "', '<a ="', "<a ='\"", "<div>", "</p>x", "<ul><li>", "<p><div>", "<script>", "<!-- ", "<![", '<p class="', "<table><tr><td>x", "&amp", "< ", "<p id= class=nav"])
+def test_hostile_pages_take_linear_time(piece):
+    import time
+
+    from nodetide.llm import html_text as h
+
+    def seconds(n):
+        page = "<article><p>Text.</p>" + piece * (n // len(piece))
+        began = time.process_time()
+        h.extract(page)
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(1 << 20) < 20 * max(seconds(1 << 17), 0.02)  # eight times the length
+
+
+def test_whole_pages_against_the_best_labelling():
+    from nodetide.llm import html_text as h
+
+    rng = random.Random(4)
+    wrap = ["<p>{}</p>", "<li>{}</li>", "<div>{}</div>", "<h2>{}</h2>", '<li><a href="/">{}</a></li>', "<article><p>{}</p></article>", '<div class="ad">{}</div>', "<td>{}</td>", "<section><p>{}</p><p>and so on</p></section>"]
+    changed = 0
+    for _ in range(120):
+        page = "".join(rng.choice(wrap).format(" ".join("word" for _ in range(rng.choice([1, 2, 4, 9, 18, 35]))) + rng.choice(["", ".", "?"])) for _ in range(rng.randint(1, 8)))
+        blocks = h.blocks_of(page)
+        h.weigh(blocks)
+        n = len(blocks)
+        assert n <= 16
+
+        def cost(side, blocks=blocks, n=n):
+            own = sum(max(0, -b.odds) if s else max(0, b.odds) for b, s in zip(blocks, side))
+            return own + sum(w for i in range(n) for j, w in blocks[i].edges.items() if i < j and side[i] != side[j])
+
+        best = min(map(cost, itertools.product([False, True], repeat=n)))
+        keep = h.label([b.odds for b in blocks], [b.edges for b in blocks])
+        assert cost(keep) <= best + 1e-9 and h.extract(page) == "\n\n".join(b.text for b, k in zip(blocks, keep) if k)
+        changed += sum((b.odds > 0) != k for b, k in zip(blocks, keep))
+    assert changed > 20  # the cut decides, not the classifier alone
+
+
+def test_cut_smooths_over_odd_blocks():
+    from nodetide.llm import html_text as h
+
+    long = "This is a sentence of a good length, as articles have them, and it goes on for a while until it ends here."
+    page = f"<div><p>{long}</p><p>{long}</p><div>hm</div><p>{long}</p><p>{long}</p></div>"
+    blocks = h.blocks_of(page)
+    h.weigh(blocks)
+    alone = [b.odds > 0 for b in blocks]
+    assert h.extract(page).split("\n\n") == [b.text for b in blocks] and not all(alone)
+
+
+def test_training_learns_shapes(spark):
+    from nodetide.llm import html_text as h
+
+    pages = [(i, "u", f"<article><p>{'word ' * 15}{i}.</p></article><footer><p>{'x ' * 30}{i}</p></footer>") for i in range(3000)]
+    odds = h.train(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3), 2)
+    assert odds["ending"][1] > h.SHAPE_ODDS["ending"][1] and odds["words"][4] < h.SHAPE_ODDS["words"][4]
+    assert all(abs(x) <= h.SHAPE_MOST for t in odds.values() for x in t)
+    few = h.train(spark.createDataFrame(pages[:1], "page_id long, url string, html string"), 1)
+    assert all(abs(a - b) < 1.2 for k in few for a, b in zip(few[k], h.shape_odds({})[k]))
