@@ -29,6 +29,7 @@ def build_parser() -> argparse.ArgumentParser:
         if name == "extract":
             c.add_argument("--limit", type=int)
             c.add_argument("--no-strict", action="store_true")
+            c.add_argument("--scans", help="table of the scans that runs are made of: sub, task, run, acq_s, n_vols")
         elif name == "dfc":
             c.add_argument("--window-s", type=float, nargs="+")
         elif name == "diagnose":
@@ -74,7 +75,7 @@ def main(argv: list[str] | None = None) -> int:
         print("\n".join(problems) or "no problems")
         return int(bool(problems))
     if args.command == "extract":
-        return _report(stages.extract_stage(spark, cfg, not args.no_strict, args.shard, args.overwrite, args.limit))
+        return _report(stages.extract_stage(spark, cfg, not args.no_strict, args.shard, args.overwrite, args.limit, args.scans))
     if args.command == "dfc":
         return _report(stages.dfc_stage(spark, cfg, args.window_s, args.shard, args.overwrite))
     if args.command == "diagnose":

@@ -24,9 +24,11 @@ def strict_boolean(c: Column) -> Column:
 
 
 def attach_participants(runs: DataFrame, participants: DataFrame, trim_column: str | None = None, trim_unit: str = "seconds", tr: float = 1.0) -> DataFrame:
-    """Runs that have an analysable row, with its columns; of several rows the first by participant_id counts. trim_end_s is in seconds, converted once."""
-    mine = participants.filter(~F.coalesce("excluded", F.lit(False)))
-    first = mine.withColumn("_n", F.row_number().over(W.partitionBy(*KEYS).orderBy("participant_id"))).filter("_n = 1").drop("_n", "cohort")
+    """Runs that have an analysable row, with its columns; of several rows of a run the first in the table counts (row_no, or participant_id without that), also
+    if it says that the run is excluded. trim_end_s is in seconds, converted once."""
+    order = "row_no" if "row_no" in participants.columns else "participant_id"
+    first = participants.withColumn("_n", F.row_number().over(W.partitionBy(*KEYS).orderBy(order))).filter("_n = 1")
+    first = first.filter(~F.coalesce("excluded", F.lit(False))).drop("_n", "cohort", "row_no")
     joined = runs.join(first, KEYS)
     if trim_column is None:
         return joined
@@ -90,10 +92,21 @@ def validate(found: DataFrame, strict: bool = True) -> list[str]:
 
 
 def shard(rows: DataFrame, index: int, count: int, order: list[str]) -> DataFrame:
-    """Every count-th row from `index` on, in order."""
+    """Every count-th row from `index` on, in order.
+
+    Rows are sorted into ranges; a row's place is its place in its range after the rows of the ranges before it, so no task holds all rows. The ranges are kept
+    while their sizes are counted, as another run of the plan may draw them anew."""
     if not 0 <= index < count:
         raise ValueError("shard index must be in [0, count)")
-    return rows.withColumn("_r", F.row_number().over(W.orderBy(*order)) - 1).filter(F.col("_r") % count == index).drop("_r")
+    ranges = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).persist()
+    before, offsets = 0, []
+    for r in ranges.groupBy("_range").count().orderBy("_range").collect():  # a row for each range
+        offsets += [F.lit(r["_range"]), F.lit(before)]
+        before += r["count"]
+    if not offsets:
+        return rows.limit(0)
+    place = F.element_at(F.create_map(*offsets), F.col("_range")) + F.row_number().over(W.partitionBy("_range").orderBy(*order)) - 1
+    return ranges.withColumn("_r", place).filter(F.col("_r") % count == index).drop("_r", "_range")
 
 
 def attach_by_entities(runs: DataFrame, files: DataFrame, column: str, name: str) -> DataFrame:

@@ -1,24 +1,24 @@
 """Windowed all-pairs correlation with quality flags.
 
 Two physical forms of the same operator. `pearson_long` is all built-in: frames meet in a self-join by (run, window, frame) and one aggregate gives every pair
-(rows grow with the square of the nodes, so it suits small node sets and SQL checks). `pearson_packed` keeps one array per frame and multiplies
-matrices in an Arrow-batched function per (run, window): what is shuffled is one array per frame and window, whatever the number of pairs.
+(rows grow with the square of the nodes, so it suits small node sets and SQL checks). `dfc` and `pearson_packed` keep one array per frame and multiply
+matrices in an Arrow-batched function: `dfc` ships each frame once to its run, whatever the number of windows, sizes and pairs.
 
 NaN means undefined and is never turned into null in stored data: a NaN sample of a node makes that node's edges NaN.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nodetide.plans.grid import assign_windows
+from nodetide.operators.extract import small
+from nodetide.plans.grid import EPS, grid_size
 
-#: Up to so many nodes the long form moves no more than the packed one.
-LONG_NODES = 16
 NAN = float("nan")
 
 
@@ -117,23 +117,67 @@ def pearson_packed(windowed: DataFrame, keys: list[str], value: str = "v", doubl
     return d.groupBy(*keys).applyInArrow(kernel, f"{kinds}, edges array<{'double' if double else 'float'}>")
 
 
+_ENTITIES = ("cohort", "atlas", "task", "sub", "ses", "run", "acq", "run_key")
+_FLAGS = "n_tr_available short, n_tr_effective short, frac_good_frames float, start_tr int, start_s float, crosses_run_boundary boolean, crosses_clip_boundary boolean, rank_deficient boolean"
+
+
+def _spans_of(frames: DataFrame, spans: DataFrame, key: str) -> DataFrame:
+    """Frames with `spans`, an array of (window_s, duration_s, n_tr_nominal): one entry per window size, so frames don't multiply."""
+    packed = spans.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col("window_s").cast("double").alias("window_s"), F.col("duration_s").cast("double").alias("duration_s"), F.col("n_tr_nominal").cast("short").alias("n_tr_nominal")))).alias("spans"))
+    return frames.join(small(packed), key)
+
+
+def _crosses(x: np.ndarray, known: np.ndarray) -> bool:
+    x = x[known]
+    return bool(len(x)) and x.min() != x.max()
+
+
 def dfc(activation: DataFrame, spans: DataFrame, overlaps: int = 5, drop_incomplete: bool = True, least_frames: int = 2, double: bool = False) -> DataFrame:
-    """Windowed connectivity of all runs and window sizes in one plan.
+    """Windowed connectivity and quality flags of all runs and window sizes in one plan; one row per window with at least max(2, least_frames) good frames.
 
     activation: run_key and other key columns, t, stimulus_time_s, v (array) and optional good_frame, run_idx, clip_idx, time_s.
-    spans: task, window_s, duration_s, n_tr_nominal (small: one row per task and window size)."""
-    frames = with_defaults(activation)
-    entities = [c for c in ("cohort", "atlas", "task", "sub", "ses", "run", "acq", "run_key") if c in frames.columns]
-    keys = [*entities, "window_s", "n_tr_nominal", "window_id", "start_w", "end_w"]
-    windowed = assign_windows(frames.join(spans, "task"), overlaps=overlaps, drop_incomplete=drop_incomplete).withColumnsRenamed({"start_s": "start_w", "end_s": "end_w"})
-    flags = quality(windowed.withColumn("n_nodes", F.size("v")), keys, F.col("n_nodes"), least_frames)
-    join_keys = ["run_key", "window_s", "window_id"] + (["atlas"] if "atlas" in entities else [])
-    edges = pearson_packed(windowed, join_keys, double=double)
-    return (
-        flags.join(edges, join_keys)
-        .withColumnsRenamed({"start_w": "stimulus_start_s", "end_w": "stimulus_end_s"})
-        .withColumns({"stimulus_start_s": F.col("stimulus_start_s").cast("float"), "stimulus_end_s": F.col("stimulus_end_s").cast("float"), "n_tr_nominal": F.col("n_tr_nominal").cast("short")})
-    )
+    spans: task or run_key, window_s, duration_s, n_tr_nominal (small: one row per task or run, and window size).
+
+    Frames are grouped by run and shipped once, whatever the windows' sizes and overlaps; windows are slices within the group, which a recording bounds."""
+    frames = with_defaults(_spans_of(activation, spans, "run_key" if "run_key" in spans.columns else "task"))
+    entities = [c for c in _ENTITIES if c in frames.columns]
+    by = [c for c in ("run_key", "atlas") if c in entities]
+    kind = np.dtype(np.float64 if double else np.float32)
+    d = frames.select(*entities, "t", F.col("stimulus_time_s").cast("double").alias("stimulus_time_s"), F.col("time_s").cast("double").alias("time_s"), F.col("good_frame").cast("boolean").alias("good_frame"), F.col("run_idx").cast("int").alias("run_idx"), F.col("clip_idx").cast("int").alias("clip_idx"), "v", "spans")
+    kinds = ", ".join(f"`{c}` {d.schema[c].dataType.simpleString()}" for c in entities)
+    schema = f"{kinds}, window_s double, n_tr_nominal short, window_id int, stimulus_start_s float, stimulus_end_s float, {_FLAGS}, edges array<{'double' if double else 'float'}>"
+    names = [f.split(" ")[0].strip("`") for f in schema.split(", ")]
+
+    def kernel(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("t")
+        head = {c: table.column(c)[0].as_py() for c in entities}
+        column = lambda c, fill: table.column(c).fill_null(fill).to_numpy(zero_copy_only=False)
+        known = lambda c: table.column(c).is_valid().to_numpy(zero_copy_only=False)
+        t, at, time = column("t", 0), column("stimulus_time_s", np.nan), column("time_s", np.nan)
+        good, run, clip = column("good_frame", False), column("run_idx", 0), column("clip_idx", 0)
+        run_known, clip_known = known("run_idx"), known("clip_idx")
+        x = np.asarray(table.column("v").combine_chunks().flatten(), np.float64).reshape(len(t), -1)
+        rows: list[tuple] = []
+        for span in table.column("spans")[0].as_py():
+            width, step = span["window_s"], span["window_s"] / overlaps
+            for k in range(grid_size(span["duration_s"], width, overlaps, drop_incomplete)):
+                start, end = k * step, k * step + width
+                inside = (at >= start - EPS) & (at < end - EPS)
+                use = inside & good
+                n, n_eff = int(inside.sum()), int(use.sum())
+                if n_eff < max(2, least_frames):
+                    continue
+                first = int(use.argmax())
+                flags = (n, n_eff, n_eff / n, int(t[first]), time[first], _crosses(run[inside], run_known[inside]), _crosses(clip[inside], clip_known[inside]), n_eff - 1 < x.shape[1])
+                rows.append((width, span["n_tr_nominal"], k, start, end, *flags, pearson_upper(x[use], kind)))
+        return pa.Table.from_arrays([*(pa.array([head[c]] * len(rows), t.type) for c, t in zip(entities, table.select(entities).schema, strict=True)), *(pa.array([r[i] for r in rows], pa.from_numpy_dtype(k) if isinstance(k, str) else k) for i, k in enumerate(_kinds(kind)))], names)
+
+    return d.groupBy(*by).applyInArrow(kernel, schema)
+
+
+def _kinds(edge: np.dtype) -> list:
+    """Arrow types of a window's columns, in order."""
+    return ["float64", "int16", "int32", "float32", "float32", "int16", "int16", "float32", "int32", "float32", pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.from_numpy_dtype(edge))]
 
 
 def observed_durations(activation: DataFrame, tr: float) -> DataFrame:
@@ -154,14 +198,50 @@ def unpack(table: DataFrame, n_nodes: int, edges: str = "edges") -> DataFrame:
     return rows.withColumn("j", (e - start(F.col("i")) + F.col("i") + 1).cast("int")).drop("e")
 
 
+def edge_names(columns: list[str]) -> list[str]:
+    """Names A__B of all edges, in the order of their places."""
+    return [f"{a}__{b}" for k, a in enumerate(columns) for b in columns[k + 1 :]]
+
+
 def widen(table: DataFrame, names: list[str], edges: str = "edges") -> DataFrame:
-    """One column per edge, named A__B; for small node sets, as plans grow with the columns."""
-    pairs = [f"{a}__{b}" for k, a in enumerate(names) for b in names[k + 1 :]]
-    return table.select(*[c for c in table.columns if c != edges], *[F.get(edges, F.lit(k)).alias(p) for k, p in enumerate(pairs)])
+    """One column per edge, named A__B. Arrow batches are cut into columns, as expressions by the thousand take Spark longer than the data."""
+    wide, keep = edge_names(names), [c for c in table.columns if c != edges]
+    d = table.select(*keep, edges)
+    kind = d.schema[edges].dataType.elementType.simpleString()
+    schema = ", ".join([f"`{c}` {d.schema[c].dataType.simpleString()}" for c in keep] + [f"`{c.replace('`', '``')}` {kind}" for c in wide])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column(edges).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, len(wide))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(np.ascontiguousarray(x[:, k])) for k in range(len(wide)))], [*keep, *wide])
+
+    return d.mapInArrow(run, schema)
 
 
 def pack_wide(table: DataFrame, columns: list[str]) -> DataFrame:
-    return table.select(*[c for c in table.columns if c not in columns], F.array(*columns).alias("edges"))
+    """The packed form of a wide table: `edges` holds `columns` in order; NaN where a stored value is missing."""
+    keep = [c for c in table.columns if c not in set(columns)]
+    d = table.select(*keep, *[F.col(f"`{c}`") for c in columns])
+    kind = d.schema[columns[0]].dataType.simpleString() if columns else "float"
+    schema = ", ".join([f"`{c}` {d.schema[c].dataType.simpleString()}" for c in keep] + [f"edges array<{kind}>"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.column_stack([b.column(c).fill_null(NAN).to_numpy(zero_copy_only=False) for c in columns]) if columns else np.zeros((b.num_rows, 0), np.float32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * len(columns), pa.int32()), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), lists], [*keep, "edges"])
+
+    return d.mapInArrow(run, schema)
+
+
+def read_edges(table: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """A stored connectivity table of one atlas in packed form, however it was stored. Edge columns go by the atlas's node `columns`, or else are those whose name has __, in their order."""
+    if "edges" in table.columns:
+        return table
+    wanted = edge_names(columns) if columns is not None else [c for c in table.columns if "__" in c]
+    if missing := [c for c in wanted if c not in table.columns]:
+        raise ValueError(f"{len(missing)} edges are missing, as {', '.join(missing[:3])}")
+    return pack_wide(table, wanted)
 
 
 def edge_storage_mode(n_edges: int, threshold: int = 20_000) -> str:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 #: Membership tables with at most so many rows are broadcast; larger ones join by shuffle.
 BROADCAST_ROWS = 2_000_000
-META = ("run_key", "t", "time_s", "stimulus_time_s", "good_frame", "run_idx")
+#: Columns of every activation table.
+COLUMNS = ("t", "time_s", "stimulus_time_s", "good_frame", "run_idx", "ses", "run", "acq", "run_key", "cohort", "atlas", "task", "sub", "clip_idx", "v")
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -44,15 +45,16 @@ def explode_volumes(volumes: DataFrame) -> DataFrame:
     return volumes.select("run_key", "t", F.posexplode("v").alias("vox_id", "v"))
 
 
-def activation_table(means: DataFrame, axis: DataFrame, runs: DataFrame) -> DataFrame:
-    """The activation contract: entities of the run, its clocks and flags, and v, in a fixed order and with fixed types."""
-    joined = means.join(axis, ["run_key", "t"]).join(runs, "run_key")
+def activation_table(means: DataFrame, axis: DataFrame, runs: DataFrame, more: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """The activation contract: entities of the run, its clocks and flags, and v, in a fixed order and with fixed types; then the columns `more` of the runs as they are."""
+    own = [c for c in ("cohort", "atlas", "task", "sub", "ses", "run", "acq", "clip_idx") if c in runs.columns and c not in axis.columns]
+    joined = means.join(axis, ["run_key", "t"]).join(small(runs.select("run_key", *own, *more)), "run_key")
     have = lambda c, kind: (F.col(c) if c in joined.columns else F.lit(None)).cast(kind).alias(c)
     return joined.select(
         F.col("t").cast("int").alias("t"), F.col("time_s").cast("float").alias("time_s"), F.col("stimulus_time_s").cast("float").alias("stimulus_time_s"),
         (F.col("good_frame") if "good_frame" in joined.columns else F.lit(True)).alias("good_frame"), F.col("run_idx").cast("byte").alias("run_idx"),
         *[have(c, "string") for c in ("ses", "run", "acq", "run_key", "cohort", "atlas", "task", "sub")],
-        have("clip_idx", "byte"), F.col("v").cast("array<float>").alias("v"),
+        have("clip_idx", "byte"), F.col("v").cast("array<float>").alias("v"), *more,
     )
 
 

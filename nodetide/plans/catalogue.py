@@ -56,7 +56,7 @@ def segments_clock(spark, sf_dir):
 
 @query("""WITH s AS (SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS seg_idx, CAST(o_orderkey % 50 + 5 AS INTEGER) AS n FROM orders),
 k AS (SELECT *, CAST(n - CASE WHEN seg_idx > 0 THEN 2 ELSE 0 END AS INTEGER) AS n_vols FROM s)
-SELECT CAST(o_custkey AS VARCHAR) AS run_key, seg_idx, n_vols, round(sum(n * 2.0) OVER (PARTITION BY o_custkey ORDER BY seg_idx) - n * 2.0, 4)::DOUBLE AS stimulus_offset_s FROM k""")
+SELECT CAST(o_custkey AS VARCHAR) AS run_key, seg_idx, n_vols, round(sum(n_vols * 2.0) OVER (PARTITION BY o_custkey ORDER BY seg_idx) - n_vols * 2.0, 4)::DOUBLE AS stimulus_offset_s FROM k""")
 def segments_from_scans(spark, sf_dir):
     from pyspark.sql import Window as W
 
@@ -152,7 +152,7 @@ def mask_restriction(spark, sf_dir):
 
 @query(f"WITH {_VOX}, m AS (SELECT CAST(t AS INTEGER) AS t, node_idx, avg(v) AS x FROM vox JOIN mem USING (vox_id) GROUP BY t, node_idx) SELECT g.t, CAST(n AS INTEGER) AS node_idx, round(m.x::FLOAT::DOUBLE, 2) AS x FROM (SELECT DISTINCT CAST(t AS INTEGER) AS t FROM vox WHERE t < 200) g CROSS JOIN (SELECT unnest(range(0, 60)) AS n) LEFT JOIN m ON m.t = g.t AND m.node_idx = n")
 def empty_parcel(spark, sf_dir):
-    v = _voxels(spark, sf_dir).filter("t < 200")
+    v = _voxels(spark, sf_dir)
     long = extract.to_long(extract.node_means(v, _membership(spark, sf_dir), 60))
     return long.select("t", "node_idx", F.round(_null_nan(F.col("x").cast("double")), 2).alias("x"))
 

@@ -7,6 +7,8 @@ explode and a filter: no nested loop and no shuffle.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,18 @@ def window_count(duration_s: Column, width_s: Column, overlaps: int, drop_incomp
     return F.when(duration_s <= 0, 0).otherwise(n).cast("int")
 
 
+def grid_size(duration_s: float, width_s: float, overlaps: int, drop_incomplete: bool = True) -> int:
+    """`window_count` of plain numbers."""
+    if overlaps < 1:
+        raise ValueError("n_overlaps must be at least 1")
+    step = width_s / overlaps
+    if duration_s <= 0:
+        return 0
+    if not drop_incomplete:
+        return math.ceil(duration_s / step - EPS)
+    return 0 if duration_s + EPS < width_s else math.floor((duration_s - width_s) / step + EPS) + 1
+
+
 def stimulus_grid(spans: DataFrame, overlaps: int = 5, drop_incomplete: bool = True) -> DataFrame:
     """spans(..., duration_s, window_s) -> the same columns with window_id, start_s and end_s, one row a window."""
     n = window_count(F.col("duration_s"), F.col("window_s"), overlaps, drop_incomplete)
@@ -83,12 +97,8 @@ def register_grid_function(spark: SparkSession, name: str = "stimulus_windows")
     @udtf(returnType="window_id int, start_s double, end_s double")
     class StimulusWindows:
         def eval(self, duration_s: float, window_s: float, overlaps: int):
-            import math
-
-            step, k = window_s / overlaps, 0
-            n = 0 if duration_s <= 0 or duration_s + 1e-9 < window_s else math.floor((duration_s - window_s) / step + 1e-9) + 1
-            while k < n:
+            step = window_s / overlaps
+            for k in range(grid_size(duration_s, window_s, overlaps)):
                 yield k, k * step, k * step + window_s
-                k += 1
 
     spark.udtf.register(name, StimulusWindows)

@@ -39,15 +39,15 @@ def build_time_axis(runs: DataFrame, segments: DataFrame | None = None, source:
 
 
 def segments_from_scans(scans: DataFrame, drop_after_restart: int = 0) -> DataFrame:
-    """scans(run_key, seg_idx, acq_s, n_vols, tr) -> segments. Gaps between scans don't advance the stimulus; scans after the first lose their
-    first `drop_after_restart` volumes; a scan that begins before the one before it has ended is an error."""
+    """scans(run_key, seg_idx, acq_s, n_vols, tr) -> segments. Gaps between scans don't advance the stimulus, nor do volumes that go; scans after the first lose
+    `drop_after_restart` volumes; a scan that begins before the one before it has ended is an error."""
     order = W.partitionBy("run_key").orderBy("seg_idx")
     gap = F.col("acq_s") - (F.lag("acq_s").over(order) + F.lag("n_vols").over(order) * F.lag("tr").over(order))
     kept = F.col("n_vols") - F.when(F.row_number().over(order) > 1, drop_after_restart).otherwise(0)
     d = scans.withColumns({"gap_s": gap, "kept": kept})
     d = d.withColumn("kept", F.when(F.col("gap_s") < -GAP_EPS, F.raise_error(F.concat(F.lit("negative gap between scans of "), F.col("run_key"))).cast("int")).otherwise(F.col("kept")))
     upto = order.rowsBetween(W.unboundedPreceding, 0)
-    return d.withColumn("stimulus_offset_s", F.sum(F.col("n_vols") * F.col("tr")).over(upto) - F.col("n_vols") * F.col("tr")).select("run_key", "seg_idx", F.col("kept").cast("int").alias("n_vols"), "stimulus_offset_s")
+    return d.withColumn("stimulus_offset_s", F.sum(F.col("kept") * F.col("tr")).over(upto) - F.col("kept") * F.col("tr")).select("run_key", "seg_idx", F.col("kept").cast("int").alias("n_vols"), "stimulus_offset_s")
 
 
 def dilated(good: Column, k: int, run: str = "run_key", t: str = "t") -> Column:

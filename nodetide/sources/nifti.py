@@ -1,7 +1,8 @@
 """NIfTI-1 images as a Spark data source, with NumPy only.
 
-`spark.read.format("nifti").load(paths)` gives one row per volume: path, t, v (array<float> in C order of (i, j, k)). A partition is a chunk of CHUNK
-volumes of a file, so a reader holds one chunk. Files are read with Spark's own file access where a session is at hand (`binaryFile`), else from
+`spark.read.format("nifti").load(paths)` gives one row per volume: path, t, v (array<float> in C order of (i, j, k)), in batches of CHUNK volumes. A compressed
+file is one partition, read once from its start to its end; any other is one partition for each GROUP of volumes. `node_means` reduces volumes to
+node means where they are read, so voxels never become rows. Files are read with Spark's own file access where a session is at hand (`binaryFile`), else from
 the shared file system that all executors mount.
 """
 
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 CHUNK = 64
+GROUP = 1024
+MEMBERSHIP_ROWS = 20_000_000
 # NIfTI-1 data type codes.
 KINDS = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4", 1024: "i8", 1280: "u8"}
 CODES = {v: k for k, v in KINDS.items()}
@@ -92,8 +95,8 @@ def encode(data: np.ndarray, affine, tr: float = 1.0) -> bytes:
     return bytes(head) + data.astype(data.dtype.newbyteorder("<")).tobytes(order="F")
 
 
-class _Chunk(InputPartition):
-    def __init__(self, path: str, begin: int, end: int):
+class _Part(InputPartition):
+    def __init__(self, path: str, begin: int, end: int | None):
         self.path, self.begin, self.end = path, begin, end
 
 
@@ -105,18 +108,80 @@ class _Reader(DataSourceReader):
     def partitions(self):
         out = []
         for p in self.paths:
-            with _open(p) as f:
-                h = parse_header(f.read(352))
-            if len(h.shape) != 4:
-                raise ValueError(f"expected a 4D image, not {len(h.shape)}D: {p}")
-            out += [_Chunk(p, b, min(b + self.chunk, h.shape[3])) for b in range(0, h.shape[3], self.chunk)]
+            if p.endswith(".gz"):
+                out.append(_Part(p, 0, None))
+            else:
+                n = header_of(p).shape[3]
+                out += [_Part(p, b, min(b + GROUP, n)) for b in range(0, n, GROUP)]
         return out
 
     def read(self, part):
-        with _open(part.path) as f:
-            h = parse_header(f.read(352))
-            for t, v in enumerate(read_volumes(f, h, part.begin, part.end), part.begin):
-                yield part.path, t, v.ravel().tolist()
+        import pyarrow as pa
+
+        for t, v in chunks(part.path, self.chunk, part.begin, part.end):
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * v.shape[1], pa.int32()), pa.array(v.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array([part.path] * len(v)), pa.array(np.arange(t, t + len(v)), pa.int32()), lists], ["path", "t", "v"])
+
+
+def header_of(path: str) -> Header:
+    """The header of a 4D image."""
+    with _open(path) as f:
+        h = parse_header(f.read(352))
+    if len(h.shape) != 4:
+        raise ValueError(f"expected a 4D image, not {len(h.shape)}D: {path}")
+    return h
+
+
+def chunks(path: str, size: int = CHUNK, begin: int = 0, end: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(first t, volumes as rows of voxels) of a 4D image, at most `size` volumes at a time, in one pass."""
+    with _open(path) as f:
+        h = parse_header(f.read(352))
+        end = h.shape[3] if end is None and len(h.shape) == 4 else end
+        held: list[np.ndarray] = []
+        for t, v in enumerate(read_volumes(f, h, begin, end or 0), begin):
+            held.append(v.ravel())
+            if len(held) == size:
+                yield t + 1 - size, np.stack(held)
+                held = []
+        if held:
+            yield end - len(held), np.stack(held)
+
+
+def mask_of(path: str) -> np.ndarray:
+    """Whether each voxel of a mask image is above 0."""
+    with open(path, "rb") as f:
+        _, data = decode(f.read())
+    return (data > 0).ravel()
+
+
+def node_means(runs: DataFrame, membership: DataFrame, n_nodes: int) -> DataFrame:
+    """runs(path, run_key, mask or null) and membership(node_idx, vox_id), a multiset -> run_key, t, v (array<float>): the mean of each node in double precision, NaN for a node without voxels.
+
+    The membership goes to every task: it has as many rows as nodes have voxels, which the image bounds, and MEMBERSHIP_ROWS checks. Each run is one task's work."""
+    rows = membership.select(F.col("node_idx").cast("int").alias("node_idx"), F.col("vox_id").cast("int").alias("vox_id")).limit(MEMBERSHIP_ROWS + 1).toPandas()
+    if len(rows) > MEMBERSHIP_ROWS:
+        raise ValueError(f"a membership of more than {MEMBERSHIP_ROWS} voxels")
+    rows = rows.sort_values(["node_idx", "vox_id"], kind="stable")
+    of, vox = rows["node_idx"].to_numpy(np.int32), rows["vox_id"].to_numpy(np.int64)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for path, key, mask in zip(*(b.column(c).to_pylist() for c in ("path", "run_key", "mask")), strict=True):
+                inside = mask_of(mask)[vox] if mask else np.ones(len(vox), bool)
+                nodes, voxels = of[inside], vox[inside]
+                held, begin, count = np.unique(nodes, return_index=True, return_counts=True)
+                for t, v in chunks(path):
+                    means = np.full((len(v), n_nodes), np.nan, np.float32)
+                    if len(held):
+                        means[:, held] = np.add.reduceat(v[:, voxels].astype(np.float64), begin, axis=1) / count
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * n_nodes, pa.int32()), pa.array(means.ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(v)), pa.array(np.arange(t, t + len(v)), pa.int32()), lists], ["run_key", "t", "v"])
+
+    # A run in each task, as a task's time is a file's.
+    spread = runs.select("path", "run_key", "mask").repartitionByRange(max(1, runs.count()), "path")
+    return spread.mapInArrow(run, "run_key string, t int, v array<float>")
 
 
 class NiftiSource(DataSource):

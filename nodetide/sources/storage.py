@@ -1,7 +1,7 @@
 """Partitioned Parquet storage: all-string keys, atomic and repeatable writes, manifests.
 
 The committer makes a write visible as a whole. What is done already is found by an anti-join on keys, not by looking for files, and overwriting replaces
-only the partitions that are written.
+only the partitions that are written. The last key, `leaf`, names session, run and acquisition, so each run is a partition of its own.
 """
 
 from __future__ import annotations
@@ -11,14 +11,14 @@ import json
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from nodetide import __version__
-from nodetide.functions.names import hive_keys, path_key, window_key
+from nodetide.functions.names import hive_keys, leaf_name, path_key, window_key
 
-PARTITION_KEYS = {"activation": ("atlas", "cohort", "task", "sub"), "dfc": ("atlas", "window_s", "cohort", "task", "sub")}
+PARTITION_KEYS = {"activation": ("atlas", "cohort", "task", "sub", "leaf"), "dfc": ("atlas", "window_s", "cohort", "task", "sub", "leaf")}
 MANIFEST_SCHEMA = "stage string, cohort string, atlas string, task string, sub string, path string, status string, n_rows long, window_s double, detail string"
 
 
@@ -46,12 +46,25 @@ def labels_path(output_root: str, atlas: str) -> str:
     return f"{meta_root(output_root)}/atlas-{key_text(atlas)}_labels.csv"
 
 
+def leaf_of(df: DataFrame) -> Column:
+    """The last path key of a row: its session, run and acquisition, or `data`."""
+    have = lambda c: F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string")
+    return F.regexp_replace(leaf_name(have("ses"), have("run"), have("acq")), r"\.parquet$", "")
+
+
 def with_path_keys(df: DataFrame, stage: str) -> DataFrame:
     """Partition columns as the texts that paths hold."""
-    make = lambda c: window_key(F.col(c).cast("double")) if c == "window_s" else path_key(F.col(c).cast("string"))
+    make = lambda c: leaf_of(df) if c == "leaf" else window_key(F.col(c).cast("double")) if c == "window_s" else path_key(F.col(c).cast("string"))
     return df.withColumns({c: make(c) for c in PARTITION_KEYS[stage]})
 
 
+def shared_leaves(runs: DataFrame) -> DataFrame:
+    """run_key of runs whose path is that of another run, as their names differ only in characters that paths don't hold."""
+    keys = runs.select("run_key", path_key(F.col("task")).alias("task"), path_key(F.col("sub")).alias("sub"), leaf_of(runs).alias("leaf")).distinct()
+    held = keys.groupBy("task", "sub", "leaf").agg(F.collect_set("run_key").alias("all")).filter(F.size("all") > 1)
+    return held.select(F.explode("all").alias("run_key"))
+
+
 def key_collisions(df: DataFrame, column: str) -> DataFrame:
     """Different values that become the same path key."""
     return df.select(column).distinct().groupBy(path_key(F.col(column).cast("string")).alias("key")).agg(F.count("*").alias("n_values")).filter("n_values > 1")
@@ -114,11 +127,14 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out = fs.create(temp, True)
         out.write(bytearray(text.encode()))
         out.close()
-        fs.delete(target, False)
-        if not fs.rename(temp, target):
-            raise OSError(f"could not write {path}")
+        # One step: readers see the old file or the new one. Stores without such a rename raise, and get a copy.
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toUri(), spark._jsc.hadoopConfiguration())
+        over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context.rename(context.makeQualified(temp), context.makeQualified(target), over)
     finally:
-        fs.delete(temp, False)
+        if fs.exists(temp):
+            fs.delete(temp, False)
 
 
 def read_text(spark: SparkSession, path: str) -> str:

@@ -17,13 +17,13 @@ PARTICIPANT_COLUMNS = ("participant_id", "sub", "cohort", "task", "excluded")
 
 
 def participants(spark: SparkSession, path: str) -> DataFrame:
-    """The participants table. Every column is read as text, so ids keep their zeros; `movie` is an older name of `task`; excluded is parsed strictly."""
+    """The participants table, with row_no in the order of its rows. Every column is read as text, so ids keep their zeros; `movie` is an older name of `task`; excluded is parsed strictly."""
     df = spark.read.option("header", True).option("inferSchema", False).csv(path)
     if "movie" in df.columns and "task" not in df.columns:
         df = df.withColumnRenamed("movie", "task")
     if missing := [c for c in PARTICIPANT_COLUMNS if c not in df.columns]:
         raise ValueError(f"participants table lacks {', '.join(missing)}")
-    return df.withColumn("excluded", strict_boolean(F.col("excluded")))
+    return df.withColumn("excluded", strict_boolean(F.col("excluded"))).withColumn("row_no", F.monotonically_increasing_id())
 
 
 def discover_from_paths(paths: DataFrame, cfg: CohortConfig) -> DataFrame:
@@ -110,6 +110,9 @@ def coordinates(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scans(spark: SparkSession, path: str) -> DataFrame:
-    """sub, task, run, acq_s, n_vols rows in run order."""
+    """sub, task, run, acq_s, n_vols and drop_after_restart (0 if absent) rows in run order; acq_time_s is another name of acq_s."""
     df = spark.read.option("header", True).option("sep", "\t" if path.endswith(".tsv") else ",").csv(path)
-    return df.withColumns({"acq_s": F.col("acq_s").cast("double"), "n_vols": F.col("n_vols").cast("int")}).orderBy("sub", "task", "run")
+    if "acq_time_s" in df.columns and "acq_s" not in df.columns:
+        df = df.withColumnRenamed("acq_time_s", "acq_s")
+    drop = F.coalesce(F.col("drop_after_restart").cast("int"), F.lit(0)) if "drop_after_restart" in df.columns else F.lit(0)
+    return df.withColumns({"acq_s": F.col("acq_s").cast("double"), "n_vols": F.col("n_vols").cast("int"), "drop_after_restart": drop}).orderBy("sub", "task", "run")
