@@ -145,14 +145,25 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return cut(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "verified")
 
 
-def _cells(members: DataFrame, sizes: DataFrame, *columns: str) -> DataFrame:
-    """members(key, node, ...) dealt into cells of two blocks of at most BLOCK members: key, c, d, block and `columns`; sizes(key, n)."""
-    dealt = members.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return met.select("key", F.least("block", "other").alias("c"), F.greatest("block", "other").alias("d"), "block", *columns)
-
-
-def _near_members(placed: DataFrame, sizes: DataFrame) -> DataFrame:
+def _cells(members: DataFrame, *columns: str) -> DataFrame:
+    """members(key, node, root, ...) dealt into cells, as key, kind, c, d, block and `columns`: all that pairs of different roots under a key need.
+
+    The largest class of a key meets the other members only: in cells of kind 0, of a block of it (block -1 there) and a block of others. The others meet each
+    other in cells of kind 1, of two of their blocks. A block has BLOCK members on average."""
+    sizes = cut(members.groupBy("key", "root").agg(F.count("*").alias("n")), "sizes")
+    keys = cut(sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.max("n").alias("large"), F.sum("n").alias("all"), F.count("*").alias("roots")).filter("roots > 1").select("key", "most", "large", (F.col("all") - F.col("large")).alias("rest")), "cells")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    held = members.join(keys, "key").withColumns({"own": blocks("large"), "others": blocks("rest"), "chief": F.col("root") == F.col("most")})
+    held = held.withColumn("at", F.pmod(F.xxhash64("node", "key"), F.when(F.col("chief"), F.col("own")).otherwise(F.col("others"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cell = lambda kind, c, d, block: F.struct(F.lit(kind).alias("kind"), c.alias("c"), d.alias("d"), block.alias("block"))
+    at = F.col("at")
+    chief = F.transform(upto("others"), lambda j: cell(0, at, j, F.lit(-1)))
+    rest = F.concat(F.transform(upto("own"), lambda i: cell(0, i, at, at)), F.transform(upto("others"), lambda j: cell(1, F.least(at, j), F.greatest(at, j), at)))
+    return held.withColumn("cell", F.explode(F.when(F.col("chief"), chief).otherwise(rest))).select("key", "cell.*", *columns)
+
+
+def _near_members(placed: DataFrame) -> DataFrame:
     """Of placed(key, node, root, fp) those within FAR bits of a member of another root under their key, as (key, node)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,17 +171,18 @@ def _near_members(placed: DataFrame, sizes: DataFrame) -> DataFrame:
             keys, nodes = [], []
             for key, members in zip(b.column("key").to_pylist(), b.column("members"), strict=True):
                 node, root, fp, block = (members.values.field(c).to_numpy(zero_copy_only=False) for c in ("node", "root", "fp", "block"))
-                near = np.bitwise_count((fp[:, None] ^ fp[None, :]).view(np.uint64)) <= FAR
-                near &= root[:, None] != root[None, :]
-                if block.min() != block.max():
-                    near &= block[:, None] != block[None, :]
-                hit = node[near.any(1)].tolist()
-                keys += [key] * len(hit)
-                nodes += hit
+                mixed, hit = block.min() != block.max(), np.zeros(len(node), bool)
+                for i in range(0, len(node), 512):  # a part of the matrix at a time
+                    near = np.bitwise_count((fp[i : i + 512, None] ^ fp[None, :]).view(np.uint64)) <= FAR
+                    near &= root[i : i + 512, None] != root[None, :]
+                    if mixed:
+                        near &= block[i : i + 512, None] != block[None, :]
+                    hit[i : i + 512] = near.any(1)
+                keys += [key] * int(hit.sum())
+                nodes += node[hit].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(nodes, pa.int64())], ["key", "node"])
 
-    cells = _cells(placed, sizes, "node", "root", "fp")
-    grouped = cells.groupBy("key", "c", "d").agg(F.collect_list(F.struct("node", "root", "fp", "block")).alias("members"))
+    grouped = _cells(placed, "node", "root", "fp").groupBy("key", "kind", "c", "d").agg(F.collect_list(F.struct("node", "root", "fp", "block")).alias("members"))
     return grouped.select("key", "members").mapInArrow(run, "key long, node long").distinct()
 
 
@@ -200,16 +212,15 @@ def _cell_links(members: list[dict]) -> list[tuple[int, int]]:
 
 def _rest_links(placed: DataFrame, sets: DataFrame) -> DataFrame:
     """Similar pairs (a, b) of different roots within the keys of placed(key, node, root, fp)."""
-    count = lambda d: d.groupBy("key").agg(F.count("*").alias("n"), F.count_distinct("root").alias("roots")).filter("roots > 1").select("key", "n")
-    near = cut(_near_members(placed, count(placed)).join(placed, ["key", "node"]), "near")
+    near = cut(_near_members(placed).join(placed, ["key", "node"]), "near")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [x for m in b.column("members") for x in _cell_links(m.as_py())]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
-    cells = _cells(near, count(near), "node", "root", "fp").join(sets, "node")
-    grouped = cells.groupBy("key", "c", "d").agg(F.collect_list(F.struct("node", "root", "block", "fp", "s")).alias("members"))
+    cells = _cells(near, "node", "root", "fp").join(sets, "node")
+    grouped = cells.groupBy("key", "kind", "c", "d").agg(F.collect_list(F.struct("node", "root", "block", "fp", "s")).alias("members"))
     return cut(grouped.select("members").mapInArrow(run, "a long, b long").distinct(), "rest")
 
 
