@@ -150,17 +150,17 @@ def mask_restriction(spark, sf_dir):
     return extract.node_means_long(extract.in_mask(_voxels(spark, sf_dir), mask), _membership(spark, sf_dir)).select("t", "node_idx", F.round("x", 6).alias("x"))
 
 
-@query(f"WITH {_VOX}, m AS (SELECT CAST(t AS INTEGER) AS t, node_idx, avg(v) AS x FROM vox JOIN mem USING (vox_id) GROUP BY t, node_idx) SELECT g.t, CAST(n AS INTEGER) AS node_idx, round(m.x::FLOAT::DOUBLE, 2) AS x FROM (SELECT DISTINCT CAST(t AS INTEGER) AS t FROM vox WHERE t < 200) g CROSS JOIN (SELECT unnest(range(0, 60)) AS n) LEFT JOIN m ON m.t = g.t AND m.node_idx = n")
+@query(f"WITH {_VOX}, m AS (SELECT CAST(t AS INTEGER) AS t, node_idx, avg(v) AS x FROM vox JOIN mem USING (vox_id) GROUP BY t, node_idx) SELECT g.t, CAST(n AS INTEGER) AS node_idx, round(m.x::FLOAT::DOUBLE, 2) AS x FROM (SELECT DISTINCT CAST(t AS INTEGER) AS t FROM vox) g CROSS JOIN (SELECT unnest(range(0, 60)) AS n) LEFT JOIN m ON m.t = g.t AND m.node_idx = n")
 def empty_parcel(spark, sf_dir):
     v = _voxels(spark, sf_dir)
     long = extract.to_long(extract.node_means(v, _membership(spark, sf_dir), 60))
     return long.select("t", "node_idx", F.round(_null_nan(F.col("x").cast("double")), 2).alias("x"))
 
 
-@query("WITH p AS (SELECT vec_id, embedding[1] AS x, embedding[2] AS y, embedding[3] AS z FROM embeddings) SELECT CAST(s.vec_id AS INTEGER) AS node_idx, count(*) AS n_points FROM p JOIN p s ON s.vec_id < 10 AND (p.x::DOUBLE - s.x::DOUBLE) * (p.x::DOUBLE - s.x::DOUBLE) + (p.y::DOUBLE - s.y::DOUBLE) * (p.y::DOUBLE - s.y::DOUBLE) + (p.z::DOUBLE - s.z::DOUBLE) * (p.z::DOUBLE - s.z::DOUBLE) <= 0.15 * 0.15 GROUP BY s.vec_id")
+@query("WITH p AS (SELECT label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings), s AS (SELECT label, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM p GROUP BY label) SELECT CAST(s.label AS INTEGER) AS node_idx, count(*) AS n_points FROM p JOIN s ON (p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y) + (p.z - s.z) * (p.z - s.z) <= 0.15 * 0.15 GROUP BY s.label")
 def sphere_membership(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("vox_id"), *[F.col("embedding")[i].cast("double").alias(a) for i, a in enumerate("xyz")])
-    seeds = e.filter("vox_id < 10").select(F.col("vox_id").cast("int").alias("node_idx"), F.col("vox_id").cast("int").alias("seed_idx"), *[F.col(a).alias(f"s{a}") for a in "xyz"])
+    e = table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("vox_id"), *[F.col("embedding")[i].cast("double").alias(a) for i, a in enumerate("xyz")])
+    seeds = e.groupBy(F.col("label").cast("int").alias("node_idx")).agg(*[F.avg(a).alias(f"s{a}") for a in "xyz"]).withColumn("seed_idx", F.col("node_idx"))
     return spatial.sphere_membership(e, seeds, 0.15).groupBy("node_idx").agg(F.count("*").alias("n_points"))
 
 
@@ -293,7 +293,9 @@ def zero_fill_bias(spark, sf_dir):
     return connectivity.pearson_long(d, ["sub", "window_id"]).withColumn("r", F.round(_null_nan(F.col("r")), 6))
 
 
-@query("SELECT CAST(label % 2 AS VARCHAR) AS sub, 0.0::DOUBLE AS max_abs_diff, count(*) > 0 AS same FROM embeddings GROUP BY ALL")
+@query("""WITH e AS (SELECT CAST(label % 2 AS VARCHAR) AS sub, vec_id, CAST(unnest(range(0, 64)) AS INTEGER) AS node, unnest(embedding)::DOUBLE AS x FROM embeddings),
+r AS (SELECT l.sub, l.node AS i, r.node AS j, corr(l.x, r.x) AS a, (avg(l.x * r.x) - avg(l.x) * avg(r.x)) / (stddev_pop(l.x) * stddev_pop(r.x)) AS b FROM e l JOIN e r ON l.sub = r.sub AND l.vec_id = r.vec_id AND l.node < r.node GROUP BY ALL)
+SELECT sub, CASE WHEN max(abs(a - b)) < 1e-6 THEN 0.0 ELSE max(abs(a - b)) END::DOUBLE AS max_abs_diff, max(abs(a - b)) < 1e-6 AS same FROM r GROUP BY sub""")
 def equivalence_check(spark, sf_dir):
     f = views.embedding_frames(spark, sf_dir)
     packed = connectivity.unpack(connectivity.pearson_packed(f, ["sub"]), 64)
@@ -441,13 +443,92 @@ def confound_residual(spark, sf_dir):
     return d.select("sub", F.col("node_idx").alias("node"), "t", F.round("x", 4).alias("x"))
 
 
-@query()
+@query(f"""WITH {SQL_EVENTS}, d AS (SELECT sub, node, t, CAST(x AS FLOAT)::DOUBLE AS y, t::DOUBLE AS c1, sin(t / 24.0) AS c2, cos(t / 24.0) AS c3 FROM act),
+m AS (SELECT sub, node, t, y, y - avg(y) OVER w AS z, c1 - avg(c1) OVER w AS p, c2 - avg(c2) OVER w AS c2, c3 - avg(c3) OVER w AS c3 FROM d WINDOW w AS (PARTITION BY sub, node)),
+q AS (SELECT *, c2 - p * (sum(p * c2) OVER w / sum(p * p) OVER w) AS q, c3 - p * (sum(p * c3) OVER w / sum(p * p) OVER w) AS c3b FROM m WINDOW w AS (PARTITION BY sub, node)),
+r AS (SELECT *, c3b - q * (sum(q * c3b) OVER w / sum(q * q) OVER w) AS r FROM q WINDOW w AS (PARTITION BY sub, node))
+SELECT sub, node AS node_idx, t, round(CAST(y - p * (sum(p * z) OVER w / sum(p * p) OVER w) - q * (sum(q * z) OVER w / sum(q * q) OVER w) - r * (sum(r * z) OVER w / sum(r * r) OVER w) AS FLOAT)::DOUBLE, 3) AS x
+FROM r WINDOW w AS (PARTITION BY sub, node)""")
 def confound_residual_multi(spark, sf_dir):
     f = views.event_frames(spark, sf_dir)
     c = f.select("run_key", "t", F.array(F.col("t").cast("double"), F.sin(F.col("t") / 24.0), F.cos(F.col("t") / 24.0)).alias("c"))
-    return extract.to_long(clean.clean_runs(f, 1.0, c)).select("sub", "node_idx", "t", F.round(F.col("x").cast("double"), 4).alias("x"))
+    return extract.to_long(clean.clean_runs(f, 1.0, c)).select("sub", "node_idx", "t", F.round(F.col("x").cast("double"), 3).alias("x"))
 
 
 @query()
 def bandpass(spark, sf_dir):
     return extract.to_long(clean.clean_runs(views.event_frames(spark, sf_dir), 1.0, low=0.01, high=0.1)).select("sub", "node_idx", "t", F.round(F.col("x").cast("double"), 4).alias("x"))
+
+
+# ---- readers, layouts and atlases ----------------------------------------------------------------------
+
+
+@query(f"WITH {SQL_EVENTS} SELECT sub, max(t) + 1.5 AS duration_s FROM frames GROUP BY sub")
+def observed_duration(spark, sf_dir):
+    a = views.event_frames(spark, sf_dir)
+    return connectivity.observed_durations(a, 1.5).select(F.col("run_key").alias("sub"), "duration_s")
+
+
+@query("SELECT CAST(o_custkey AS VARCHAR) AS run_key, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS t, o_orderkey::DOUBLE AS time_s, true AS good_frame, 0 AS run_idx, 0 AS n_clips FROM orders")
+def default_columns(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("run_key"), "o_orderkey", F.col("o_orderkey").cast("double").alias("stimulus_time_s"))
+    d = connectivity.with_defaults(o)
+    return d.select("run_key", "o_orderkey", "t", "time_s", "good_frame", F.col("run_idx").cast("int").alias("run_idx"), F.when(F.col("clip_idx").isNull(), 0).otherwise(1).alias("n_clips"))
+
+
+@query("SELECT vec_id, round(embedding[4]::DOUBLE, 5) AS x0, round(embedding[2]::DOUBLE, 5) AS x1, round(embedding[1]::DOUBLE, 5) AS x2 FROM embeddings")
+def project_nodes(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    wide = extract.to_wide(e, [f"N{k}" for k in range(64)])
+    packed = extract.from_wide(wide.select("vec_id", "N3", "N1", "N0"), ["N3", "N1", "N0"])
+    return packed.select("vec_id", *[F.round(F.get("v", F.lit(k)).cast("double"), 5).alias(f"x{k}") for k in range(3)])
+
+
+@query("SELECT CAST(label % 2 AS VARCHAR) AS sub, CAST(count(*) AS BIGINT) AS n_frames, 2016 AS n_edges, true AS same FROM embeddings GROUP BY ALL")
+def edge_layouts(spark, sf_dir):
+    f = views.embedding_frames(spark, sf_dir)
+    packed = connectivity.pearson_packed(f, ["sub"])
+    names = [f"n{k:02d}" for k in range(64)]
+    back = connectivity.read_edges(connectivity.widen(packed, names), names).withColumnRenamed("edges", "again")
+    n = f.groupBy("sub").agg(F.count("*").alias("n_frames"))
+    same = F.forall(F.arrays_zip("edges", "again"), lambda p: (p["edges"] == p["again"]) | (F.isnan(p["edges"]) & F.isnan(p["again"])))
+    return packed.join(back, "sub").join(n, "sub").select("sub", "n_frames", F.size("again").alias("n_edges"), same.alias("same"))
+
+
+#: A label image made of the embeddings: 10 voxels in two directions, as many as it takes in the third.
+_IMAGE = "SELECT vec_id AS vox_id, vec_id % 10 AS i, vec_id // 10 % 10 AS j, vec_id // 100 AS k, label FROM embeddings"
+
+
+def _image(spark, sf_dir):
+    v = F.col("vec_id")
+    return table(spark, sf_dir, "embeddings").select(v.alias("vox_id"), (v % 10).cast("int").alias("i"), (F.floor(v / 10) % 10).cast("int").alias("j"), F.floor(v / 100).cast("int").alias("k"), F.col("label").cast("int").alias("label"))
+
+
+@query(f"WITH im AS ({_IMAGE}), g AS (SELECT CAST(a AS INTEGER) AS i, CAST(b AS INTEGER) AS j, CAST(c AS INTEGER) AS k FROM (SELECT unnest(range(0, 7)) AS a), (SELECT unnest(range(0, 7)) AS b), (SELECT unnest(range(0, 3)) AS c)) SELECT g.i, g.j, g.k, CAST(coalesce(im.label, 0) AS INTEGER) AS label FROM g LEFT JOIN im ON im.i = floor(g.i * 1.5 + 1.0 + 0.5) AND im.j = floor(g.j * 1.5 - 2.0 + 0.5) AND im.k = g.k * 2")
+def resample_labels(spark, sf_dir):
+    to = [[3, 0, 0, 2], [0, 3, 0, -4], [0, 0, 4, 0], [0, 0, 0, 1]]
+    out = spatial.resample_labels(_image(spark, sf_dir), [[2, 0, 0, 0], [0, 2, 0, 0], [0, 0, 2, 0], [0, 0, 0, 1]], to, (7, 7, 3))
+    return out.select(*[F.col(a).cast("int").alias(a) for a in "ijk"], "label")
+
+
+@query(f"WITH im AS ({_IMAGE}) SELECT vox_id, CAST(CASE WHEN vox_id % 3 = 0 AND vox_id % 5 IN (1, 2, 4) THEN CASE vox_id % 5 WHEN 1 THEN 25 WHEN 2 THEN 26 ELSE 27 END WHEN label > 0 THEN label ELSE 0 END AS INTEGER) AS label FROM im")
+def label_merge_paint(spark, sf_dir):
+    cort = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.when(F.col("n_nationkey") == 0, "Background").otherwise(F.col("n_name")).alias("name"))
+    sub = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
+    image = _image(spark, sf_dir)
+    inner = image.filter("vox_id % 3 = 0").withColumn("label", (F.col("vox_id") % 5).cast("int"))
+    plan = spatial.merge_plan(cort, sub, drop=("EUROPE",))
+    return spatial.merge_labels(image.select("vox_id", "label"), inner.select("vox_id", "label"), plan)
+
+
+@query("SELECT n_nationkey AS node_idx, replace(n_name, ' ', '_') AS \"column\", 'B' AS hemi, count(c_custkey) AS n_voxels FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL")
+def user_atlas(spark, sf_dir):
+    from nodetide.sources.atlas import get_atlas
+
+    nation = table(spark, sf_dir, "nation")
+    nan = F.lit(float("nan"))
+    nodes = nation.select(F.col("n_nationkey").alias("node_idx"), (F.col("n_nationkey") + 1).alias("index"), F.col("n_name").alias("name"), nan.alias("x"), nan.alias("y"), nan.alias("z"), F.col("n_regionkey").cast("string").alias("network"))
+    membership = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("node_idx"), F.col("c_custkey").alias("vox_id"))
+    atlas = get_atlas(spark, "nations", nodes=nodes, membership=membership)
+    n = atlas.membership.groupBy("node_idx").agg(F.count("*").alias("n_voxels"))
+    return atlas.nodes.join(n, "node_idx", "left").select("node_idx", "column", "hemi", F.coalesce("n_voxels", F.lit(0)).alias("n_voxels"))

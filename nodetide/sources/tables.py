@@ -26,14 +26,22 @@ def participants(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("excluded", strict_boolean(F.col("excluded"))).withColumn("row_no", F.monotonically_increasing_id())
 
 
+#: How file names spell an entity in BIDS: key-value between underscores.
+BIDS_ENTITY = "(?:^|_){}-([A-Za-z0-9]+)(?=_)"
+
+
 def discover_from_paths(paths: DataFrame, cfg: CohortConfig) -> DataFrame:
-    """paths(path) -> runs. The subject is looked for in the whole path, the other entities in the file's name."""
+    """paths(path) -> runs. The subject is looked for in the whole path, the other entities in the file's name; the BIDS backend goes by the entities of the name alone."""
     d = cfg.discovery
     name = F.substring_index("path", "/", -1)
+    bids = d.backend == "pybids"
+    subject = (BIDS_ENTITY.format("sub"), name) if bids else (d.subject_pattern, F.col("path"))
+    task = BIDS_ENTITY.format("task") if bids else d.task_pattern
+    more = BIDS_ENTITY if bids else "{}-([A-Za-z0-9]+)"
     entity = lambda pattern, of: F.nullif(F.regexp_extract(of, pattern, 1), F.lit(""))
     rows = paths.select(
-        F.lit(cfg.cohort).alias("cohort"), entity(d.subject_pattern, F.col("path")).alias("sub"), entity(d.task_pattern, name).alias("task"), "path",
-        F.lit(None).cast("string").alias("mask"), *[entity(f"{k}-([A-Za-z0-9]+)", name).alias(k) for k in ("ses", "run", "acq")], F.lit(cfg.stimulus.timing_source).alias("timing_source"),
+        F.lit(cfg.cohort).alias("cohort"), entity(*subject).alias("sub"), entity(task, name).alias("task"), "path",
+        F.lit(None).cast("string").alias("mask"), *[entity(more.format(k), name).alias(k) for k in ("ses", "run", "acq")], F.lit(cfg.stimulus.timing_source).alias("timing_source"),
     ).filter(F.col("sub").isNotNull() & F.col("task").isNotNull())
     if d.include_tasks:
         rows = rows.filter(F.col("task").isin(*d.include_tasks))
@@ -43,12 +51,14 @@ def discover_from_paths(paths: DataFrame, cfg: CohortConfig) -> DataFrame:
 
 
 def discover(spark: SparkSession, cfg: CohortConfig) -> DataFrame:
-    """Runs below derivatives_root by the glob of the configuration, in path order, with the first mask that fits. A BIDS backend uses the entities
-    of the file names alike."""
+    """Runs below derivatives_root in path order: by the glob of the configuration, with the first mask that fits; or, with the BIDS backend, all *_bold.nii.gz at any depth by
+    the entities of their names, without masks."""
     if cfg.discovery.backend not in ("glob", "pybids"):
         raise ValueError(f"unknown discovery backend {cfg.discovery.backend!r}")
-    glob = f"{cfg.derivatives_root.rstrip('/')}/{cfg.discovery.bold_glob}"
-    files = spark.read.format("binaryFile").load(glob).select(F.regexp_replace("path", "^file:", "").alias("path"))  # names only: content is pruned
+    root = cfg.derivatives_root.rstrip("/")
+    reader = spark.read.format("binaryFile")
+    found = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*_bold.nii.gz").load(root) if cfg.discovery.backend == "pybids" else reader.load(f"{root}/{cfg.discovery.bold_glob}")
+    files = found.select(F.regexp_replace("path", "^file:", "").alias("path"))  # names only: content is pruned
     runs = discover_from_paths(files, cfg)
     if cfg.discovery.mask_glob and cfg.discovery.backend == "glob":
         folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)

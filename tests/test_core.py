@@ -234,3 +234,80 @@ def test_stream_counts_windows(spark, tmp_path):
     got = {r.window_id: (r.n_tr_available, r.n_tr_effective) for r in spark.table("windows").collect()}
     assert got[0] == (30, 27) and min(got) == 0
     assert got == {r.window_id: (r.n_tr_available, r.n_tr_effective) for r in window_quality_stream(d, ["run_key"], 30.0).collect()}
+
+
+def test_offsets_count_the_volumes_that_stay(spark):
+    s = spark.createDataFrame([("r", 0, 0.0, 300, 2.0), ("r", 1, 700.0, 100, 2.0), ("r", 2, 1000.0, 50, 2.0)], "run_key string, seg_idx int, acq_s double, n_vols int, tr double")
+    got = [(r.n_vols, r.stimulus_offset_s) for r in timing.segments_from_scans(s, 4).orderBy("seg_idx").collect()]
+    assert got == [(300, 0.0), (96, 600.0), (46, 792.0)]
+
+
+def test_first_participant_row_decides(spark):
+    from nodetide.operators import cohort
+
+    runs = spark.createDataFrame([("1", "a"), ("2", "a"), ("3", "a")], "sub string, task string")
+    people = spark.createDataFrame([("z", "1", "a", True, 0), ("b", "1", "a", False, 1), ("y", "2", "a", False, 2), ("c", "2", "a", True, 3), ("d", "3", "a", None, 4)], "participant_id string, sub string, task string, excluded boolean, row_no long")
+    got = cohort.attach_participants(runs, people.withColumn("cohort", people.task))
+    assert sorted((r["sub"], r["participant_id"]) for r in got.collect()) == [("2", "y"), ("3", "d")] and "row_no" not in got.columns
+
+
+def test_shards_split_rows_in_order(spark):
+    from nodetide.operators import cohort
+
+    rows = spark.range(0, 1000, 3).selectExpr("id", "(id * 7919) % 1009 AS k").repartition(7)
+    order = [r.id for r in rows.orderBy("k", "id").collect()]
+    for i in range(4):
+        assert sorted(r.id for r in cohort.shard(rows, i, 4, ["k", "id"]).collect()) == sorted(order[i::4])
+    assert cohort.shard(rows.limit(0), 0, 2, ["k"]).count() == 0
+
+
+def test_merged_and_named_atlases(spark, tmp_path):
+    import numpy as np
+
+    from nodetide.sources import nifti
+    from nodetide.sources.atlas import get_atlas
+
+    cort = np.zeros((6, 4, 4), np.int16)
+    cort[:3], cort[3:] = 1, 2
+    inner = np.zeros((3, 2, 2), np.int16)  # voxels of twice the size
+    inner[1], inner[2, 0, 0] = 2, 1
+    put = lambda name, x, size: (tmp_path / name).write_bytes(nifti.encode(x, np.diag([size, size, size, 1.0])))
+    put("c.nii", cort, 1.0)
+    put("s.nii", inner, 2.0)
+    put("y.nii", cort[..., None], 1.0)
+    (tmp_path / "c.csv").write_text("id,name\n0,Background\n1,Left Front\n2,Right Front\n")
+    (tmp_path / "s.csv").write_text("id,name\n0,Background\n1,Left Cerebral Cortex\n2,Brain Stem\n")
+    files = {"cort_image": f"{tmp_path}/c.nii", "sub_image": f"{tmp_path}/s.nii", "cort_labels": f"{tmp_path}/c.csv", "sub_labels": f"{tmp_path}/s.csv"}
+    at = np.floor(np.indices(cort.shape) / 2 + 0.5).astype(int)
+    ok = (at < np.array(inner.shape)[:, None, None, None]).all(0)
+    near = np.where(ok, inner[tuple(np.minimum(at, np.array(inner.shape)[:, None, None, None] - 1))], 0)
+    for name, drop in (("HO", (1,)), ("legacy69", ())):
+        a = get_atlas(spark, name, **files)
+        want = cort.astype(int)
+        want[near == 2] = 3 if drop else 4
+        if not drop:
+            want[near == 1] = 3
+        got = np.zeros(cort.size, int)
+        index = {r.node_idx: r["index"] for r in a.nodes.collect()}
+        for r in a.membership.collect():
+            got[r.vox_id] = index[r.node_idx]
+        assert (got == want.ravel()).all() and a.n_nodes == (3 if drop else 4) and a.name == ("harvardoxford" if drop else "harvardoxford69")
+        assert {r.network for r in a.nodes.collect()} == {"cortical", "subcortical"}
+    yeo = get_atlas(spark, "yeo", label_image=f"{tmp_path}/y.nii")
+    assert yeo.columns()[:2] == ["Visual", "Somatomotor"] and yeo.n_nodes == 7
+    with pytest.raises(KeyError, match="aren't part"):
+        get_atlas(spark, "harvard_oxford")
+    with pytest.raises(KeyError, match="unknown"):
+        get_atlas(spark, "nowhere")
+
+
+def test_discovery_by_bids_names(spark, tmp_path):
+    from nodetide.config import config_from_dict
+    from nodetide.sources import tables
+
+    for f in ("sub-01/ses-2/func/sub-01_ses-2_task-walk_acq-hi_run-03_bold.nii.gz", "sub-01/x/sub-02_task-rest_bold.nii.gz", "deep/er/still/sub-03_task-walk_desc-x_bold.nii.gz", "sub-04_task-walk_bold.nii", "sub-05_bold.nii.gz"):
+        p = tmp_path / f
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_bytes(b"x")
+    cfg = config_from_dict({"cohort": "c", "tr": 1.0, "derivatives_root": str(tmp_path), "output_root": "/o", "discovery": {"backend": "pybids"}})
+    assert [(r.sub, r.task, r.ses, r.run, r.acq, r.mask) for r in tables.discover(spark, cfg).collect()] == [("03", "walk", None, None, None, None), ("01", "walk", "2", "03", "hi", None)]
