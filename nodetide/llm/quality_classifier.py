@@ -1,8 +1,8 @@
 """Quality scores by ridge regression on random Fourier features of document statistics, calibrated by isotonic regression.
 
 Each whole text becomes a vector of statistics (once, in one pass over the texts). Random Fourier features z = cos(Wx + b) approximate a Gaussian kernel on
-the standardised vector. Every partition sums its part of the normal equations Z'Z and Z'y; the sums are added up in two steps, and only matrices of a
-fixed size reach the driver. Part of the training rows is kept out of the fit: their scores are counted in BINS bins, and
+the standardised vector. Labelled rows are dealt anew by size, and each task sums its part of the normal equations Z'Z and Z'y; the sums are added up in two steps, and at most
+eight matrices of a fixed size reach the driver. Part of the training rows is kept out of the fit: their scores are counted in BINS bins, and
 pool-adjacent-violators on the bins gives the monotone map from score to probability. All labelled training rows are used.
 
 Defined cases: null and empty texts have the statistics of an empty text and get a score like any other; a doc_id with several labels counts with their mean;
@@ -64,7 +64,7 @@ def statistics(text: bytes) -> list[float]:
 
 def document_statistics(docs: DataFrame) -> DataFrame:
     """doc_id and x (array<double>) of each row, from whole texts."""
-    d = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    d = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -101,28 +101,33 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def normal_equations(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Z'Z and Z'y over rows (x, y), summed in each partition, then in at most 32 groups, then here."""
+    """Z'Z and Z'y over rows (x, y), summed in each task, then in at most eight groups, then here. The rows are narrow and are dealt anew by size first: there are as many
+    matrices as the labelled rows fill partitions, not as the table has."""
     d = model.w.shape[1] + 1
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        a, v = np.zeros((d, d)), np.zeros(d)
+        a, v, n = np.zeros((d, d)), np.zeros(d), 0
         for b in batches:
+            n += b.num_rows
             z = model.features(_matrix(b.column("x")))
             a += z.T @ z
             v += z.T @ np.asarray(b.column("y"), float)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 32], pa.int32()), pa.array([np.vstack((a, v)).tobytes()], pa.binary())], ["g", "sums"])
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 8], pa.int32()), pa.array([np.vstack((a, v)).tobytes()], pa.binary())], ["g", "sums"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((d + 1, d))
+        total, n = np.zeros((d + 1, d)), 0
         for b in batches:
+            n += b.num_rows
             for s in b.column("sums"):
                 total += np.frombuffer(s.as_py()).reshape(d + 1, d)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
-    sums = rows.mapInArrow(part, "g int, sums binary").repartition(32, "g").coalesce(8).mapInArrow(add, "sums binary").collect()
-    total = sum(np.frombuffer(bytes(r.sums)).reshape(d + 1, d) for r in sums)
+    sums = rows.hint("rebalance").mapInArrow(part, "g int, sums binary").repartition(8, "g").mapInArrow(add, "sums binary").collect()
+    total = sum((np.frombuffer(bytes(r.sums)).reshape(d + 1, d) for r in sums), np.zeros((d + 1, d)))
     return total[:d], total[d]
 
 
