@@ -19,8 +19,9 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Pre-tokens that a worker remembers with their ids, in each of two generations.
+#: Pre-tokens that a worker remembers with their ids, in each of two generations; longer ones are encoded each time they come.
 MEMORY = 150_000
+LONG = 64
 #: Bytes of text that a worker encodes at a time, one text at least.
 SLICE_BYTES = 1 << 20
 
@@ -33,10 +34,9 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in prints else chr(next(spare)) for b in range(256)]
 
 
-def read_ranks(path: str) -> list[bytes]:
-    """Token bytes by rank."""
-    with open(path, "rb") as f:
-        pairs = [line.split() for line in f if line.strip()]
+def parse_ranks(raw: bytes) -> list[bytes]:
+    """Token bytes by rank, from the bytes of a rank file."""
+    pairs = [line.split() for line in raw.splitlines() if line.strip()]
     out = [b""] * (max(int(r) for _, r in pairs) + 1)
     for token, rank in pairs:
         out[int(rank)] = base64.b64decode(token)
@@ -73,13 +73,13 @@ def serialise_model(tokens: list[bytes]) -> bytes:
 
 
 class Codec:
-    """Encodes and decodes in one process."""
+    """Encodes and decodes in one process, by the bytes of a rank file."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, ranks: bytes, pattern: str):
         import regex
         import sentencepiece
 
-        self.tokens = read_ranks(path)
+        self.tokens = parse_ranks(ranks)
         self.rank = {t: r for r, t in enumerate(self.tokens)}
         self.split = regex.compile(pattern).findall
         self.model = sentencepiece.SentencePieceProcessor()
@@ -91,25 +91,28 @@ class Codec:
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
-    def _learn(self, new: list[str]) -> None:
-        """Encodes pre-tokens in one call and remembers their ids; the least recently learnt half of all goes when memory is full."""
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """The ids of pre-tokens, encoded in one call. Those that aren't long are remembered; the least recently learnt half of all goes when memory is full."""
         import numpy as np
 
+        out: dict[str, bytes] = {}
         if len(self.known) + len(new) > MEMORY:
             self.before, self.known = self.known, {}
         ask = []
         for s in new:
             if (old := self.before.get(s)) is not None:
-                self.known[s] = old
+                out[s] = old
                 continue
             raw = s.encode("utf-8", "replace")
             whole = self.rank.get(raw)
             if whole is None:
                 ask.append((s, raw.decode("latin-1").translate(self.table)))
             else:
-                self.known[s] = whole.to_bytes(4, "little")
+                out[s] = whole.to_bytes(4, "little")
         for (s, _), ids in zip(ask, self.model.EncodeAsIds([x for _, x in ask], num_threads=1) if ask else [], strict=True):
-            self.known[s] = (np.array(ids, "<i4") - 1).tobytes()
+            out[s] = (np.array(ids, "<i4") - 1).tobytes()
+        self.known.update((s, ids) for s, ids in out.items() if len(s) <= LONG)
+        return out
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as packed little-endian 32-bit integers."""
@@ -117,11 +120,9 @@ class Codec:
         found = [list(map(self.known.get, p)) for p in parts]
         open_ = [i for i, f in enumerate(found) if None in f]
         if open_:
-            self._learn(list(dict.fromkeys(s for i in open_ for s, f in zip(parts[i], found[i], strict=True) if f is None)))
-            # What was known may have gone to `before` meanwhile.
-            look = lambda s: self.known.get(s) or self.before[s]
+            learnt = self._learn(list(dict.fromkeys(s for i in open_ for s, f in zip(parts[i], found[i], strict=True) if f is None)))
             for i in open_:
-                found[i] = [look(s) if f is None else f for s, f in zip(parts[i], found[i], strict=True)]
+                found[i] = [learnt[s] if f is None else f for s, f in zip(parts[i], found[i], strict=True)]
         return list(map(b"".join, found))
 
     def encode(self, text: str | None) -> bytes:
@@ -132,8 +133,14 @@ class Codec:
 
 
 @lru_cache(2)
-def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
+def codec(ranks: bytes, pattern: str) -> Codec:
+    return Codec(ranks, pattern)
+
+
+def rank_file(path: str) -> bytes:
+    """The bytes of a rank file, read on the driver: they go to the workers with the plan, so no worker needs the file."""
+    with open(path, "rb") as f:
+        return f.read()
 
 
 def _schema_with(df: DataFrame, *more: str) -> str:
@@ -143,10 +150,10 @@ def _schema_with(df: DataFrame, *more: str) -> str:
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", to: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """Adds `to`, the ids (array<int>) of `text`; keeps the columns named in `keep` (all, if None)."""
     keep = [c for c in (docs.columns if keep is None else keep) if c != to]
-    d = docs.select(*dict.fromkeys([*keep, text]))
+    d, ranks = docs.select(*dict.fromkeys([*keep, text])), rank_file(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
+        c = codec(ranks, pattern)
         for batch in batches:
             # A slice at a time bounds what a worker holds.
             for part in _slices(batch, text):
@@ -160,10 +167,10 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", to: str
 
 def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """Adds `to`, the bytes (binary) that the array `ids` stands for; null for null."""
-    keep = [c for c in rows.columns if c != to]
+    keep, ranks = [c for c in rows.columns if c != to], rank_file(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
+        c = codec(ranks, pattern)
         for batch in batches:
             out = [None if x is None else c.decode(x) for x in _lists(batch.column(ids))]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(out, pa.binary())], [*keep, to])
@@ -173,10 +180,10 @@ def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids", to: str =
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256: texts are encoded, and the ids alone decoded again."""
-    coded = encode(docs, path, pattern, keep=["doc_id"])
+    coded, ranks = encode(docs, path, pattern, keep=["doc_id"]), rank_file(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
+        c = codec(ranks, pattern)
         sha = lambda raw: hashlib.sha256(raw).hexdigest()
         for b in batches:
             n, ids_sha, text_sha = [], [], []
