@@ -33,7 +33,7 @@ BEAM = 96
 ALPHA = 1.2
 BATCH = 128
 SEED = 7
-QUERY_BLOCK = 512
+QUERY_BLOCK = 2048
 
 
 def usable(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -171,14 +171,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, beam: int = BEAM) ->
     packed = queries.groupBy("dim", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("part")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "v"))).alias("queries"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = points = graph = ids = None
         for b in batches:
             for r in range(b.num_rows):
-                g = {c: b.column(c)[r].as_py() for c in ("dim", "vectors", "ids", "sizes", "graph", "start", "queries")}
-                raw = np.frombuffer(g["vectors"]).reshape(-1, g["dim"])
-                graph = np.frombuffer(g["graph"], np.int32).reshape(len(raw), -1)
-                ends = np.cumsum(np.frombuffer(g["sizes"], np.int32))
-                ids = np.split(np.frombuffer(g["ids"], np.int64), ends[:-1])
-                points, own = _unit(raw), [q["vec_id"] for q in g["queries"]]
+                g = {c: b.column(c)[r].as_py() for c in ("shard", "dim", "start", "queries")}
+                if (g["shard"], g["dim"]) != shard:  # rows come by shard
+                    shard = g["shard"], g["dim"]
+                    points = _unit(np.frombuffer(b.column("vectors")[r].as_py()).reshape(-1, g["dim"]))
+                    graph = np.frombuffer(b.column("graph")[r].as_py(), np.int32).reshape(len(points), -1)
+                    ends = np.cumsum(np.frombuffer(b.column("sizes")[r].as_py(), np.int32))
+                    ids = np.split(np.frombuffer(b.column("ids")[r].as_py(), np.int64), ends[:-1])
+                own = [q["vec_id"] for q in g["queries"]]
                 q = _unit(np.array([q["v"] for q in g["queries"]], float))
                 out: list[tuple[int, int, float]] = []
                 for lo in range(0, len(q), BATCH):
@@ -191,8 +194,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, beam: int = BEAM) ->
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64())], ["query_id", "vec_id", "score"])
 
     # A block's rows and one shard's graph meet in one row; the stated query set against all rows, in blocks.
-    met = graphs.hint("shuffle_hash").join(packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(max(0, (graphs.agg(F.max("shard")).first()[0] or 0)))))), ["shard", "dim"])
-    found = met.select("dim", "vectors", "ids", "sizes", "graph", "start", "queries").mapInArrow(run, "query_id long, vec_id long, score double")
+    met = graphs.hint("merge").join(packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(max(0, (graphs.agg(F.max("shard")).first()[0] or 0)))))), ["shard", "dim"])
+    found = met.select("shard", "dim", "vectors", "ids", "sizes", "graph", "start", "queries").mapInArrow(run, "query_id long, vec_id long, score double")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
