@@ -10,7 +10,6 @@ table has their block. The answers of each round are written to the shared folde
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nodetide.llm.common import cut, shared_dir
+from nodetide.llm.common import cut, new_folder
 
 #: Bytes of text in a block, and bytes of text for each bucket.
 BLOCK_BYTES = 2 << 20
@@ -72,9 +71,10 @@ def pack(docs: DataFrame, text: str = "text", block_bytes: int | None = None) ->
 def _bucketed(blocks: DataFrame) -> DataFrame:
     """`blocks` written to the shared folder and read back as buckets by block, which joins need not shuffle."""
     spark = blocks.sparkSession
-    name = f"nodetide_blocks_{uuid.uuid4().hex}"
+    path = new_folder(spark, "blocks")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks.write.option("compression", "none").option("path", f"{shared_dir(spark)}/{name}").bucketBy(n, "block").saveAsTable(name, format="parquet")
+    blocks.write.option("compression", "none").option("path", path).bucketBy(n, "block").saveAsTable(name, format="parquet")
     out = spark.table(name)
     out.schema  # resolved: the files are known, and the catalog's entry isn't needed any more
     spark.sql(f"DROP TABLE {name}")
@@ -279,7 +279,8 @@ class Anchors:
             self.begin, self.end = runs(least, valid)
         self.doc = self.doc_of[self.begin]
         self.id = ids.value[self.doc]
-        self.key, self.of = np.unique(least[self.begin], return_inverse=True)
+        # Least hashes are small numbers; mixed anew they fall into all buckets alike.
+        self.key, self.of = np.unique(mix64(least[self.begin] + np.uint64(_MULT)), return_inverse=True)
         low, high = np.full(len(self.key), np.iinfo(np.int64).max), np.full(len(self.key), -1)
         np.minimum.at(low, self.of, self.doc)
         np.maximum.at(high, self.of, self.doc)
