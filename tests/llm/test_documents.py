@@ -183,7 +183,7 @@ def test_byte_bpe(docs):
     assert sorted(map(tuple, byte_bpe.digests(docs, path, P.PATTERN).collect())) == sorted(want)
     assert byte_bpe.digests(empty(docs), path, P.PATTERN).count() == 0
     rng = random.Random(3)
-    c = byte_bpe.Codec(path, P.PATTERN)
+    c = byte_bpe.Codec(byte_bpe.rank_file(path), P.PATTERN)
     import numpy as np
 
     for _ in range(300):
@@ -336,6 +336,54 @@ def test_quality_classifier(spark):
     assert {r.score for r in q.score_documents(d, labels.limit(0)).collect()} == {0.5}
 
 
+def test_quality_classifier_awkward_rows(spark):
+    from nodetide.llm import quality_classifier as q
+
+    rows = [(i, ("fine words in a row " * (i % 9 + 3)) if i % 2 else "!!! ### $$$ " * (i % 9 + 3)) for i in range(300)]
+    rows += [(5, rows[5][1]), (5, rows[5][1]), (None, "fine words"), (301, "long and fine words " * 200_000), (302, None)]
+    d = spark.createDataFrame([(*r, "clash", 7) for r in rows], "doc_id long, text string, x string, y int").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2, 1) for i in range(300)] + [(7, 0, 0), (7, 1, 0), (None, 1, 0), (8, None, 0)], "doc_id long, quality int, x int")
+    out = q.score_documents(d, labels).collect()
+    assert len(out) == len(rows) and all(0 <= r.score <= 1 for r in out)
+    assert len({r.score for r in out if r.doc_id == 5}) == 1
+    assert {r.held_out for r in out if r.doc_id is None} == {False}
+
+
+def test_normal_equations_against_numpy(spark):
+    import numpy as np
+
+    from nodetide.llm import quality_classifier as q
+
+    rng = np.random.default_rng(0)
+    x, y = rng.normal(size=(500, len(q.STATISTICS))), rng.integers(0, 2, 500).astype(float)
+    model = q.Model(x.mean(0), x.std(0), rng.normal(size=(len(q.STATISTICS), 20)), rng.uniform(0, 6, 20))
+    d = spark.createDataFrame([(x[i].tolist(), float(y[i])) for i in range(500)], "x array<double>, y double")
+    z = model.features(x)
+    a, v = q.normal_equations(d, model)
+    assert np.allclose(a, z.T @ z) and np.allclose(v, z.T @ y)
+    a, v = q.normal_equations(d.limit(0), model)
+    assert not a.any() and not v.any()
+
+
+def test_byte_bpe_awkward_rows(spark):
+    import public_tokenizers as P
+
+    from nodetide.llm import byte_bpe
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    rows = [(None, "no id"), (1, None), (2, "a" * 300_000), (2, "a" * 300_000), (3, "x" * 65 + " " + "x" * 65), (4, "\u00a0\u2003 \n\n\n  tail ")]
+    d = spark.createDataFrame([(*r, [9], "clash") for r in rows], "doc_id long, text string, ids array<int>, n_tokens string")
+    out = byte_bpe.digests(d, path, P.PATTERN).collect()
+    assert sorted(((r.doc_id, r.decoded_sha256) for r in out), key=str) == sorted(((i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows), key=str)
+    coded = byte_bpe.encode(d, path, P.PATTERN, to="tokens")
+    assert coded.columns == [*d.columns, "tokens"]
+    back = byte_bpe.decode(byte_bpe.encode(d, path, P.PATTERN), path, P.PATTERN)
+    assert {bytes(r.decoded).decode() for r in back.collect()} == {t or "" for _, t in rows}
+    c = byte_bpe.Codec(byte_bpe.rank_file(path), P.PATTERN)
+    c.encode("y" * 500)
+    assert all(len(s) <= byte_bpe.LONG for s in c.known)
+
+
 def test_isotonic():
     import numpy as np
 

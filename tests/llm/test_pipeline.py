@@ -99,7 +99,7 @@ def test_run(spark, tmp_path):
     duck = duckdb.connect()
     duck.register("documents", pa.table({"doc_id": [i for i, _ in cut], "text": [t for _, t in cut], "lang": ["en" if i % 3 else "de" for i, _ in cut], "source": [f"src{i % 5}" for i, _ in cut]}))
     taken = {r[0] for r in duck.sql(f"SELECT doc_id FROM ({source_mix.oracle_sql(P.MIX)})").fetchall()}
-    codec = byte_bpe.Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    codec = byte_bpe.Codec(byte_bpe.rank_file(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
     want = set()
     for i, t in cut:
         if i in taken:
