@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nodetide.llm import byte_bpe, near_texts, quality_rules, source_mix, suffix_dedup
-from nodetide.llm.common import cut
+from nodetide.llm.common import cut, release, written
 
 #: Every leaf gives at most one epoch here, so no document comes twice.
 MIX = source_mix.MixPlan(max_epochs=1, percent=90)
@@ -55,5 +55,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
+        since = written()
         docs = cut(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        release(spark, since, keep=("stage-",))  # what only this stage needed
     return STAGES[-1][1](spark, docs, sf_dir)
