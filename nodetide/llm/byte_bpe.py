@@ -18,9 +18,10 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Pre-tokens that a worker remembers with their ids, in each of two generations; longer ones are encoded each time they come.
-MEMORY = 150_000
+MEMORY = 60_000
 LONG = 64
 #: Bytes of text that a worker encodes at a time, one text at least.
 SLICE_BYTES = 1 << 20
@@ -79,15 +80,14 @@ class Codec:
         import regex
         import sentencepiece
 
-        self.tokens = parse_ranks(ranks)
-        self.rank = {t: r for r, t in enumerate(self.tokens)}
+        tokens = parse_ranks(ranks)
+        self.rank = {t: r for r, t in enumerate(tokens)}
         self.split = regex.compile(pattern).findall
         self.model = sentencepiece.SentencePieceProcessor()
-        self.model.LoadFromSerializedProto(serialise_model(self.tokens))
+        self.model.LoadFromSerializedProto(serialise_model(tokens))
         self.table = {b: c for b, c in enumerate(byte_characters())}
         back = {c: b for b, c in self.table.items()}
-        self.pieces = [bytes(back[c] for c in self.model.IdToPiece(i + 1)) for i in range(len(self.tokens))]
-        self.names = [str(i) for i in range(len(self.tokens))]
+        self.pieces = [bytes(back[c] for c in self.model.IdToPiece(i + 1)) for i in range(len(tokens))]
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
@@ -179,21 +179,25 @@ def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids", to: str =
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256: texts are encoded, and the ids alone decoded again."""
-    coded, ranks = encode(docs, path, pattern, keep=["doc_id"]), rank_file(path)
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256: texts are encoded, and the ids alone decoded again, in one worker that holds one model."""
+    d, ranks = docs.select("doc_id", F.col("text").cast("string").alias("text")), rank_file(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
         c = codec(ranks, pattern)
         sha = lambda raw: hashlib.sha256(raw).hexdigest()
-        for b in batches:
-            n, ids_sha, text_sha = [], [], []
-            for ids in _lists(b.column("ids")):
-                n.append(len(ids))
-                ids_sha.append(sha(",".join(map(c.names.__getitem__, ids)).encode()))
-                text_sha.append(sha(c.decode(ids)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return coded.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        for batch in batches:
+            for b in _slices(batch, "text"):
+                n, ids_sha, text_sha = [], [], []
+                for packed in c.encode_all(b.column("text").to_pylist()):
+                    ids = np.frombuffer(packed, "<i4").tolist()
+                    n.append(len(ids))
+                    ids_sha.append(sha(",".join(map(str, ids)).encode()))
+                    text_sha.append(sha(c.decode(ids)))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return d.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _lists(column: pa.ListArray) -> Iterator[list[int] | None]:
