@@ -91,3 +91,12 @@ def test_window_dedup(spark, block_bytes, hot):
     assert sorted(got, key=key) == sorted(want, key=key)
     assert sum(r[2] for r in got) > 500
     assert window_dedup.report(docs.limit(0)).count() == 0
+
+
+def test_rank_pairs(spark):
+    from nodetide.llm import rank_pairs
+
+    want = [(d, len(u), sum(gone)) for d, u, gone in brute(rows(), lambda t: (t or "").encode(), 50)]
+    docs = spark.createDataFrame(rows(), "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, rank_pairs.report(docs).collect()), key=key) == sorted(want, key=key)
+    assert rank_pairs.report(docs.limit(0)).count() == 0
