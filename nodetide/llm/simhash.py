@@ -108,27 +108,23 @@ def _forest(rows: pa.RecordBatch) -> tuple[list[int], list[int]]:
     a, b = [], []
     for k, members in zip(rows.column("k").to_pylist(), rows.column("members"), strict=True):
         f, block = (members.values.field(c).to_numpy(zero_copy_only=False) for c in ("fp", "block"))
-        order = np.argsort(f)
-        f, block = f[order].view(np.uint64), block[order]
+        f = f.view(np.uint64)
         mixed = len(f) and block.min() != block.max()
-        tree = list(range(len(f)))
-
-        def root(i, tree=tree):
-            while tree[i] != i:
-                tree[i] = tree[tree[i]]
-                i = tree[i]
-            return i
-
-        for i in range(len(f) - 1):
-            near = close(f[i + 1 :] ^ f[i], k)
-            if mixed:
-                near &= block[i + 1 :] != block[i]
-            for j in np.flatnonzero(near).tolist():
-                p, q = root(i), root(i + 1 + j)
-                if p != q:
-                    tree[max(p, q)] = min(p, q)
-                    a.append(int(f[i].view(np.int64)))
-                    b.append(int(f[i + 1 + j].view(np.int64)))
+        # Breadth first: each member looks once at those that no tree has yet, so members that are all alike cost little.
+        new = np.arange(len(f))
+        while len(new) > 1:
+            todo, new = [int(new[0])], new[1:]
+            while todo and len(new):
+                i = todo.pop()
+                near = close(f[new] ^ f[i], k)
+                if mixed:
+                    near &= block[new] != block[i]
+                hit = new[near]
+                if len(hit):
+                    a += [int(f[i].view(np.int64))] * len(hit)
+                    b += f[hit].view(np.int64).tolist()
+                    todo += hit.tolist()
+                    new = new[~near]
     return a, b
 
 
