@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from nodetide.llm.common import WORD, cut
 
 _BIG = "decimal(38,0)"
+#: Rows of thresholds, one for each leaf and epoch, that a broadcast may hold.
+BROADCAST_ROWS = 50_000
 
 
 @dataclass(frozen=True)
@@ -119,17 +121,23 @@ def thresholds(keyed: DataFrame, plan: MixPlan) -> DataFrame:
     return whole.unionByName(partial).groupBy(*leaf, "epoch").agg(F.max("upto").alias("upto"))
 
 
+def _small(t: DataFrame) -> DataFrame:
+    """Thresholds, written, with a broadcast hint if they are shown to be few; beyond, the join shuffles and Spark splits a large leaf."""
+    t = cut(t, "thresholds")
+    return F.broadcast(t) if t.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else t
+
+
 def mix(docs: DataFrame, plan: MixPlan = MixPlan()) -> DataFrame:
     """doc_id, tokens, domain, lang, source and epoch of each document taken, once per epoch that takes it."""
     keyed = cut(_keyed(docs, plan), "mix")
-    t = thresholds(keyed, plan)
+    t = _small(thresholds(keyed, plan))
     return keyed.join(t, ["domain", "lang", "source"]).filter(_order_key(plan.seed) <= F.col("upto")).select("doc_id", "domain", "lang", "source", F.col("epoch").cast("int").alias("epoch"), "tokens")
 
 
 def mix_documents(docs: DataFrame, plan: MixPlan = MixPlan(max_epochs=1)) -> DataFrame:
     """The rows of `docs` that the plan takes, in their own columns; a row that two epochs take comes twice."""
     keyed = cut(_keyed(docs, plan), "mix")
-    t = thresholds(keyed, plan).select(F.struct("domain", "lang", "source").alias("_leaf"), "epoch", "upto")
+    t = _small(thresholds(keyed, plan).select(F.struct("domain", "lang", "source").alias("_leaf"), "epoch", "upto"))
     leaf = F.struct(F.expr(plan.domain_sql).alias("domain"), F.coalesce("lang", F.lit("(none)")).alias("lang"), F.coalesce("source", F.lit("(none)")).alias("source"))
     held = docs.select(F.struct(*docs.columns).alias("_d"), "doc_id", leaf.alias("_leaf"))
     taken = held.join(t, "_leaf").filter(_order_key(plan.seed) <= F.col("upto"))

@@ -164,6 +164,54 @@ def test_shortages_go_to_siblings_first(spark):
     assert got == {"a": 10, "b": 492, "c": 502}
 
 
+def poured(caps, weights, budget):
+    """Water filling by hand: shares by weight among those not full yet, again and again; whole tokens, rounded down."""
+    from fractions import Fraction
+
+    got, open_ = {}, set(caps)
+    while open_:
+        left = budget - sum(got.values())
+        total = sum(weights[c] for c in open_)
+        full = {c for c in open_ if caps[c] * total <= left * weights[c]}
+        if not full:
+            return got | {c: min(caps[c], int(Fraction(left * weights[c], total))) for c in open_}
+        got |= {c: caps[c] for c in full}
+        open_ -= full
+    return got
+
+
+def test_budgets_against_water_filling(spark):
+    from nodetide.llm import source_mix as m
+
+    rng = random.Random(12)
+    for trial in range(3):
+        rows = [(d, lang, f"s{k}", rng.choice([0, 1, 7, 50, 900, 12345])) for d in ("web", "books", "forum") for lang in ("en", "de", "xx") for k in range(rng.randint(1, 4))]
+        plan = m.MixPlan(sources={"s0": 3, "s1": 50}, percent=rng.choice([10, 70, 140]), max_epochs=rng.randint(1, 3))
+        w = lambda name, table: table.get(name, plan.other)
+        cap = {r[:3]: r[3] * plan.max_epochs for r in rows}
+        want = {}
+        domains = poured({d: sum(c for k, c in cap.items() if k[0] == d) for d in {k[0] for k in cap}}, {d: w(d, plan.domains) for d in plan.domains}, sum(r[3] for r in rows) * plan.percent // 100)
+        for d, b in domains.items():
+            langs = {k[1] for k in cap if k[0] == d}
+            for lang, c in poured({x: sum(v for k, v in cap.items() if k[:2] == (d, x)) for x in langs}, {x: w(x, plan.langs) for x in langs}, b).items():
+                leaves = {k[2]: v for k, v in cap.items() if k[:2] == (d, lang)}
+                want |= {(d, lang, x): v for x, v in poured(leaves, {x: w(x, plan.sources) for x in leaves}, c).items()}
+        got = {(r.domain, r.lang, r.source): r.budget for r in m.leaf_budgets(spark.createDataFrame(rows, "domain string, lang string, source string, tokens long"), plan).collect()}
+        assert got == want, trial
+
+
+def test_source_mix_awkward_rows(spark, monkeypatch):
+    from nodetide.llm import source_mix as m
+
+    rows = [(None, "a b c", None, None), (None, "a b", None, None), (1, None, "en", "src1"), (2, "", "en", "src1"), (2, "", "en", "src1"), (3, "w " * 50_000, "en", "src12")]
+    d = spark.createDataFrame([(*r, "clash", 5) for r in rows], "doc_id long, text string, lang string, source string, epoch string, tokens int")
+    every = m.MixPlan(percent=100, max_epochs=1)
+    for most in (50_000, 0):
+        monkeypatch.setattr(m, "BROADCAST_ROWS", most)
+        taken = m.mix_documents(d, every)
+        assert taken.columns == d.columns and sorted(map(str, taken.collect())) == sorted(map(str, d.collect()))
+
+
 def test_byte_bpe(docs):
     import base64
 
