@@ -22,11 +22,12 @@ language, source and id never enter a prediction.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -40,6 +41,8 @@ ORDER = 4
 CALIBRATION = 16
 REJECT = 0.5
 BLOCK_BYTES = 8 << 20
+#: Characters that a worker turns into arrays at a time, one text at least.
+SLICE = 1 << 19
 #: Margins are counted in bins of this width, in nats a character, up to so many bins.
 BIN, BINS = 0.002, 2000
 #: Slope and offset of the score before any row calibrates it; they weigh as much as a few rows.
@@ -64,10 +67,50 @@ def grams_of(word: str, n: int = ORDER) -> list[str]:
     return [p[i : i + n] for i in range(len(word) + 1)]
 
 
-def _hash(grams: list[str]) -> np.ndarray:
-    from xxhash import xxh3_64_intdigest
-
-    return np.fromiter((xxh3_64_intdigest(g.encode("utf-8", "surrogatepass")) for g in grams), np.uint64, len(grams)).view(np.int64)
+@lru_cache(1)
+def _letters() -> np.ndarray:
+    """Of each code point, whether words_of takes it for a letter."""
+    return np.fromiter((c.isalnum() and not c.isdecimal() for c in map(chr, range(0x110000))), bool, 0x110000)
+
+
+def _hash(columns: list[np.ndarray]) -> np.ndarray:
+    """64-bit hashes of n-grams, given as columns of code points from the first character to the last."""
+    h = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        h = (h ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return (h * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+
+
+def grams_in(texts: list[str | None], order: int = ORDER) -> tuple[list[np.ndarray], np.ndarray]:
+    """The n-grams of all words of some texts, as columns of code points, and how many each text has. The same as grams_of of words_of, in one pass over arrays."""
+    lower = [(t or "").lower() for t in texts]
+    ends = np.cumsum(np.fromiter((len(t) + 1 for t in lower), np.int64, len(lower)))
+    points = np.frombuffer("".join(t + "\n" for t in lower).encode("utf-32-le", "surrogatepass"), np.uint32)
+    points = np.where(_letters()[points], points, 0)
+    columns, back = [points], points
+    for n in range(1, order):
+        before = np.concatenate((np.zeros(min(n, len(points)), np.uint32), points[: max(0, len(points) - n)]))
+        back = np.where(back == 0, 0, before) if n > 1 else before  # nothing before a boundary counts
+        columns.insert(0, back)
+    use = (points != 0) | (columns[-2] != 0)  # letters, and the ends of words
+    total = np.concatenate(([0], np.cumsum(use)))[ends] if len(ends) else np.zeros(0, np.int64)
+    return [c[use] for c in columns], np.diff(np.concatenate(([0], total)))
+
+
+def _slices(texts: pa.Array, most: int = SLICE) -> Iterator[tuple[int, list[str | None]]]:
+    """(place of the first, texts) with about `most` characters together, one text at least."""
+    begin, held, size = 0, [], 0
+    for i, t in enumerate(texts):
+        text = t.as_py()
+        n = len(text or "")
+        if held and size + n > most:
+            yield begin, held
+            begin, held, size = i, [], 0
+        held.append(text)
+        size += n
+    if held:
+        yield begin, held
 
 
 # ---- counting and the model ----------------------------------------------------------------------------
@@ -79,24 +122,37 @@ def count_grams(blocks: DataFrame, order: int = ORDER) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, data in zip(batch.column("block").to_pylist(), batch.column("rows"), strict=True):
-                rows = blockwise.unpack(data.as_py())
-                words: dict[str | None, Counter] = {}
-                for lang, text in zip(rows.column("learn").to_pylist(), rows.column("text"), strict=True):
-                    words.setdefault(lang, Counter()).update(words_of(text.as_py()))
-                found: dict[str, dict[str, int]] = {}
-                for lang, counts in words.items():
-                    for w, c in counts.items():
-                        for g in grams_of(w, order):
-                            held = found.setdefault(g, {})
-                            if lang is not None:
-                                held[lang] = held.get(lang, 0) + c
-                grams = list(found)
-                maps = pa.array([list(x.items()) for x in found.values()], pa.map_(pa.string(), pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(grams), pa.int64()), pa.array(grams, pa.string()), pa.array(_hash(grams)), maps], ["block", "gram", "h", "counts"])
+                yield _counted(block, blockwise.unpack(data.as_py()), order)
 
     return blocks.select("block", "rows").mapInArrow(run, "block long, gram string, h long, counts map<string,long>")
 
 
+def _counted(block: int, rows: pa.RecordBatch, order: int) -> pa.RecordBatch:
+    """The n-grams of one block with their counts per language."""
+    langs = rows.column("learn").to_pylist()
+    names = sorted({x for x in langs if x is not None})
+    code = {x: i for i, x in enumerate(names)} | {None: len(names)}
+    of = np.array([code[x] for x in langs], np.int64)
+    hashes, points, counts = [np.zeros(0, np.int64)], [np.zeros((0, order), np.uint32)], [np.zeros((0, len(names)), np.int64)]
+    for begin, texts in _slices(rows.column("text")):
+        columns, sizes = grams_in(texts, order)
+        place, distinct = pd.factorize(_hash(columns))
+        first = np.zeros(len(distinct), np.int64)
+        first[place[::-1]] = np.arange(len(place))[::-1]
+        lang = np.repeat(of[begin : begin + len(texts)], sizes)
+        hashes.append(distinct)
+        points.append(np.column_stack([c[first] for c in columns]))
+        counts.append(np.bincount(place * (len(names) + 1) + lang, minlength=len(distinct) * (len(names) + 1)).reshape(len(distinct), len(names) + 1)[:, :-1])
+    every, first, place = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    total = np.zeros((len(every), len(names)), np.int64)
+    np.add.at(total, place, np.concatenate(counts))
+    text = np.concatenate(points)[first].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    at, lang = np.nonzero(total)
+    offsets = np.concatenate(([0], np.cumsum((total > 0).sum(1))))
+    maps = pa.MapArray.from_arrays(pa.array(offsets, pa.int32()), pa.array([names[k] for k in lang.tolist()], pa.string()), pa.array(total[at, lang], pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(every), block)), pa.array([text[i : i + order] for i in range(0, len(text), order)], pa.string()), pa.array(every), maps], ["block", "gram", "h", "counts"])
+
+
 def levels(grams: DataFrame, order: int = ORDER) -> list[DataFrame]:
     """(lang, gram, c) of the orders 1 to `order`, from (lang, gram, c) of the highest."""
     out = [grams]
@@ -176,36 +232,26 @@ def look_up(asked: DataFrame, model: Model) -> DataFrame:
 # ---- scoring -------------------------------------------------------------------------------------------
 
 
-def word_scores(words: list[str], keys: np.ndarray, table: np.ndarray, order: int) -> np.ndarray:
-    """[words, languages]: sums of log-probabilities; keys are the sorted hashes of n-grams, table their rows."""
-    per = [grams_of(w, order) for w in words]
-    sizes = np.fromiter(map(len, per), np.int64, len(per))
-    flat = [g for p in per for g in p]
-    distinct = list(dict.fromkeys(flat))
-    place = dict(zip(distinct, np.searchsorted(keys, _hash(distinct)).tolist(), strict=True))
-    at = np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))
-    return np.add.reduceat(table[at], np.cumsum(sizes) - sizes, axis=0)
-
-
-def cross_entropies(texts: pa.Array, keys: np.ndarray, table: np.ndarray, order: int, languages: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each text: [texts, languages] cross-entropy per character, and its characters (a word has one more than its letters, its end)."""
-    known: dict[str, int] = {}
-    scores = np.zeros((0, languages))
-    entropy, size = np.zeros((len(texts), languages)), np.zeros(len(texts))
-    step = 64
-    for lo in range(0, len(texts), step):
-        found = [words_of(t.as_py()) for t in texts[lo : lo + step]]
-        new = [w for w in dict.fromkeys(w for ws in found for w in ws) if w not in known]
-        if new:
-            begin = len(known)
-            if begin + len(new) > len(scores):
-                scores = np.concatenate((scores, np.zeros((max(len(scores), len(new), 1024), languages))))
-            scores[begin : begin + len(new)] = word_scores(new, keys, table, order)
-            known.update(zip(new, range(begin, begin + len(new)), strict=True))
-        for i, ws in enumerate(found, lo):
-            if ws:
-                size[i] = sum(map(len, ws)) + len(ws)
-                entropy[i] = -scores[np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))].sum(0) / size[i]
+def cross_entropies(texts: pa.Array, keys: np.ndarray, table: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text: [texts, languages] cross-entropy per character, and its characters (a word has one more than its letters, its end). keys are the sorted hashes of
+    all n-grams of the texts, table their rows."""
+    entropy, size = np.zeros((len(texts), table.shape[1])), np.zeros(len(texts))
+    # Where a key stands, by its last bits; keys that lost their slot to another are searched for.
+    bits = np.int64((1 << max(1, (4 * len(keys)).bit_length())) - 1)
+    slot = np.zeros(bits + 1, np.int64)
+    slot[keys & bits] = np.arange(len(keys))
+    for begin, part in _slices(texts):
+        columns, sizes = grams_in(part, order)
+        h = _hash(columns)
+        at = slot[h & bits]
+        if len(h):
+            missed = np.flatnonzero(keys[at] != h)
+            at[missed] = np.searchsorted(keys, h[missed])
+        full = np.flatnonzero(sizes)
+        if len(full):
+            starts = (np.cumsum(sizes) - sizes)[full]
+            entropy[begin + full] = -np.add.reduceat(table[at], starts, axis=0) / sizes[full, None]
+            size[begin + full] = sizes[full]
     return entropy, size
 
 
@@ -233,7 +279,7 @@ def compare(blocks: DataFrame, answers: DataFrame, model: Model, columns: dict[s
                     table = got.field("p").flatten().to_numpy(zero_copy_only=False).reshape(len(keys), languages)
                     at = np.argsort(keys)
                     keys, table = keys[at], table[at]
-                entropy, size = cross_entropies(rows.column("text"), keys, table, order, languages)
+                entropy, size = cross_entropies(rows.column("text"), keys, table, order)
                 best = np.where(size > 0, entropy.argmin(1), -1)
                 cross = pa.array(np.where(size > 0, entropy.min(1), np.nan), mask=size == 0)
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in columns), pa.array(best, pa.int32()), pa.array(np.where(size > 0, margins(entropy, size), 0.0)), cross], [*columns, "best", "margin", "cross_entropy"])

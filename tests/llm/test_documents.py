@@ -291,6 +291,21 @@ def kneser_ney(words, order, alphabet):
     return p
 
 
+def test_grams_of_arrays_are_those_of_words():
+    import numpy as np
+
+    from nodetide.llm import language_id as L
+
+    rng = random.Random(14)
+    texts = [None, "", "a", "Ab c_d e1f", "İstanbul ΣΑΣ ﬃ ½x² 日本語 𝒳y ǅ", " \n\n", "x" * 9] + ["".join(chr(rng.choice([32, 95, 10, rng.randrange(48, 123), rng.randrange(0xA0, 0x600), rng.randrange(0x1F00, 0x3100), rng.randrange(0x1D400, 0x1D800)])) for _ in range(rng.randrange(80))) for _ in range(300)]
+    for order in (2, 4):
+        columns, sizes = L.grams_in(texts, order)
+        got = ["".join(map(chr, g)) for g in np.column_stack(columns).tolist()]
+        assert got == [g for t in texts for w in L.words_of(t) for g in L.grams_of(w, order)]
+        assert sizes.tolist() == [sum(len(w) + 1 for w in L.words_of(t)) for t in texts]
+    assert L.grams_in([], 4)[1].tolist() == []
+
+
 def test_kneser_ney_against_brute_force(spark):
     import math
 
