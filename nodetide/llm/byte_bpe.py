@@ -114,6 +114,10 @@ class Codec:
         self.known.update((s, ids) for s, ids in out.items() if len(s) <= LONG)
         return out
 
+    def forget(self) -> None:
+        """Gives up what is remembered: a worker that waits for its next task, or takes up another stage, holds no more than the model."""
+        self.known, self.before = {}, {}
+
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as packed little-endian 32-bit integers."""
         parts = [self.split(t or "") for t in texts]
@@ -161,6 +165,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", to: str
                 offsets = pa.array([0, *_running(len(p) // 4 for p in packed)], pa.int32())
                 values = pa.Array.from_buffers(pa.int32(), sum(map(len, packed)) // 4, [None, pa.py_buffer(b"".join(packed))])
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.ListArray.from_arrays(offsets, values)], [*keep, to])
+        c.forget()
 
     return d.mapInArrow(run, _schema_with(d.select(*keep), f"`{to}` array<int>"))
 
@@ -196,6 +201,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     ids_sha.append(sha(",".join(map(str, ids)).encode()))
                     text_sha.append(sha(c.decode(ids)))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        c.forget()
 
     return d.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -245,7 +245,9 @@ def classes(blocks: DataFrame, id_type: str) -> tuple[DataFrame, DataFrame]:
     # First each text with the candidate that is closest; then what is left between classes.
     best = pairs.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
     links = _verified(best, sets)
-    tree = simhash.components(links)
+    # Where two steps along the closest candidates lead joins most classes; that it may not join all costs some checks, no link.
+    step = links.select("b", "a")
+    tree = step.join(step.select(F.col("b").alias("a"), F.col("a").alias("up")), "a", "left").select(F.col("b").alias("node"), F.coalesce("up", "a").alias("root"))
     other = _apart(pairs.select("a", "b").exceptAll(best), tree)
     links = links.unionByName(_verified(other, sets))
     tree = simhash.components(links)
