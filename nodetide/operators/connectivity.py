@@ -256,8 +256,8 @@ def full_matrix(edges: DataFrame, keys: list[str], nodes: DataFrame) -> DataFram
 
 
 def max_abs_difference(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """The largest difference of two routes to the same values, ignoring NaN."""
-    d = a.select(*keys, F.col(value).alias("_a")).join(b.select(*keys, F.col(value).alias("_b")), keys)
-    return d.select(F.abs(F.col("_a") - F.col("_b")).alias("d")).filter(~F.isnan("d")).agg(F.max("d").alias("max_abs_diff"))
-
-
+    """The largest difference of two routes to the same values, for each value of the first key. A row that only one of them has, or that only one has as NaN, differs without bound."""
+    both = a.select(*keys, F.col(value).alias("_a")).join(b.select(*keys, F.col(value).alias("_b")), keys, "full")
+    none = lambda c: F.col(c).isNull() | F.isnan(c)
+    d = F.when(F.col("_a").isNull() | F.col("_b").isNull(), float("inf")).when(none("_a") & none("_b"), 0.0).when(none("_a") | none("_b"), float("inf")).otherwise(F.abs(F.col("_a") - F.col("_b")))
+    return both.groupBy(keys[0]).agg(F.max(d).alias("max_abs_diff"))

@@ -24,10 +24,11 @@ def hemisphere_pairs(nodes: DataFrame) -> DataFrame:
 
 def left_right(activation: DataFrame, nodes: DataFrame, threshold: float = 0.95) -> DataFrame:
     """Mean correlation of each left-right pair over runs, highest first, undefined last. n_subjects counts runs with a valid correlation."""
-    pairs = F.broadcast(hemisphere_pairs(nodes))  # a label table
+    pairs = hemisphere_pairs(nodes).agg(F.collect_list(F.struct("region", "left_idx", "right_idx")).alias("pairs"))  # one row, of a label table
+    value = lambda p, s: F.get(F.col("v"), p[f"{s}_idx"]).cast("double")
     good = activation.filter("good_frame").select("run_key", "v").crossJoin(pairs)
-    x, y = (F.get("v", F.col(f"{s}_idx")).cast("double") for s in ("left", "right"))
-    d = good.select("run_key", "region", x.alias("x"), y.alias("y")).filter(is_finite(F.col("x")) & is_finite(F.col("y")))
+    d = good.select("run_key", F.explode(F.transform("pairs", lambda p: F.struct(p["region"].alias("region"), value(p, "left").alias("x"), value(p, "right").alias("y")))).alias("p")).select("run_key", "p.*")
+    d = d.filter(is_finite(F.col("x")) & is_finite(F.col("y")))
     per_run = d.groupBy("run_key", "region").agg(F.count("*").alias("n"), safe_pearson(F.col("x"), F.col("y")).alias("r")).filter("n > 2 AND NOT isnan(r)")
     mean = per_run.groupBy("region").agg(F.count("*").alias("n_subjects"), F.avg("r").alias("mean_lr_r"))
     out = hemisphere_pairs(nodes).join(mean, "region", "left").select("region", "left", "right", F.coalesce("n_subjects", F.lit(0)).alias("n_subjects"), F.coalesce("mean_lr_r", F.lit(float("nan"))).alias("mean_lr_r"))

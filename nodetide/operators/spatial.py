@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from nodetide.functions.names import clean_name, hemisphere
+from nodetide.operators.extract import small
 
 # Nuisance compartments of the subcortical label list.
 NUISANCE = ("Background", "Left Cerebral White Matter", "Right Cerebral White Matter", "Left Cerebral Cortex", "Right Cerebral Cortex", "Left Lateral Ventricle", "Right Lateral Ventricle")
@@ -30,7 +31,7 @@ def affine_voxel(affine: list[list[float]], x: Column, y: Column, z: Column) ->
 
 def label_membership(label_image: DataFrame, nodes: DataFrame) -> DataFrame:
     """label_image(vox_id, label) and nodes(node_idx, index) -> node_idx, vox_id."""
-    return label_image.join(F.broadcast(nodes.select("node_idx", F.col("index").alias("label"))), "label").select("node_idx", "vox_id")
+    return label_image.join(small(nodes.select("node_idx", F.col("index").alias("label"))), "label").select("node_idx", "vox_id")
 
 
 def within_radius(points: DataFrame, seeds: DataFrame, radius: float) -> DataFrame:
@@ -91,7 +92,7 @@ def merge_plan(cortical: DataFrame, subcortical: DataFrame, drop: tuple[str, ...
 
 def merge_labels(cort_image: DataFrame, sub_image: DataFrame, plan: DataFrame) -> DataFrame:
     """vox_id, label of the merged image: where both have a label, the subcortical one wins; voxels without a label are 0."""
-    of = lambda part: F.broadcast(plan.filter(F.col("part") == part).select(F.col("old_id").alias("label"), F.col("new_id").alias(part)))
+    of = lambda part: small(plan.filter(F.col("part") == part).select(F.col("old_id").alias("label"), F.col("new_id").alias(part)))
     c = cort_image.join(of("cort"), "label", "left").select("vox_id", "cort")
     s = sub_image.join(of("sub"), "label", "left").select("vox_id", "sub")
     return c.join(s, "vox_id", "full").select("vox_id", F.coalesce("sub", "cort", F.lit(0)).cast("int").alias("label"))

@@ -300,9 +300,8 @@ def equivalence_check(spark, sf_dir):
     f = views.embedding_frames(spark, sf_dir)
     packed = connectivity.unpack(connectivity.pearson_packed(f, ["sub"]), 64)
     # Two routes to the same edges: matrices in packed form, and built-in aggregates; an edge that only one of them has differs without bound.
-    long = connectivity.pearson_long(f.select("sub", "t", F.posexplode("v").alias("node_idx", "x")), ["sub"]).select("sub", "i", "j", F.col("r").alias("x"))
-    d = F.when(F.col("r").isNull() | F.col("x").isNull(), float("inf")).when(F.isnan("r") & F.isnan("x"), 0.0).otherwise(F.abs(F.col("r") - F.col("x")))
-    diff = packed.join(long, ["sub", "i", "j"], "full").groupBy("sub").agg(F.max(d).alias("d"))
+    long = connectivity.pearson_long(f.select("sub", "t", F.posexplode("v").alias("node_idx", "x")), ["sub"]).select("sub", "i", "j", "r")
+    diff = connectivity.max_abs_difference(packed, long, ["sub", "i", "j"], "r").withColumnRenamed("max_abs_diff", "d")
     return diff.select("sub", F.when(F.col("d") < 1e-6, 0.0).otherwise(F.col("d")).alias("max_abs_diff"), (F.col("d") < 1e-6).alias("same"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nodetide.operators.extract import small
+
 HOURS = 720
 _HOUR = "datediff(CAST(ts AS DATE), DATE '2024-01-01') * 24 + hour(ts)"
 
@@ -37,7 +39,7 @@ def event_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """run_key (= sub), sub, task, t, node_idx, event_type, x on the dense grid of hours, subjects and kinds."""
     sums = events_by_hour(spark, sf_dir).groupBy("h", "sub", "event_type").agg(F.sum("value").alias("x"))
-    nodes = F.broadcast(event_nodes(spark, sf_dir))
+    nodes = small(event_nodes(spark, sf_dir))
     grid = spark.range(HOURS).select(F.col("id").cast("int").alias("t"), F.explode(F.array(*[F.lit(str(i)) for i in range(4)])).alias("sub")).crossJoin(nodes)
     full = grid.join(sums.withColumnRenamed("h", "t"), ["t", "sub", "event_type"], "left")
     return full.select(F.col("sub").alias("run_key"), "sub", F.lit("events").alias("task"), "t", "node_idx", "event_type", F.coalesce("x", F.lit(0.0)).alias("x"))

@@ -65,11 +65,6 @@ def shared_leaves(runs: DataFrame) -> DataFrame:
     return held.select(F.explode("all").alias("run_key"))
 
 
-def key_collisions(df: DataFrame, column: str) -> DataFrame:
-    """Different values that become the same path key."""
-    return df.select(column).distinct().groupBy(path_key(F.col(column).cast("string")).alias("key")).agg(F.count("*").alias("n_values")).filter("n_values > 1")
-
-
 def write_stage(df: DataFrame, output_root: str, stage: str) -> None:
     """Writes the rows into their partitions; partitions without rows stay as they are. One shuffle puts a partition's rows into one task, and large ones are split by Spark."""
     keys = PARTITION_KEYS[stage]
@@ -87,9 +82,10 @@ def open_stage(spark: SparkSession, output_root: str, stage: str, schema: Struct
     return reader.schema(schema).parquet(root or base)
 
 
-def restore_keys(df: DataFrame, stage: str) -> DataFrame:
-    """Partition keys of rows that were read file by file, from the files' paths."""
-    keys = hive_keys(F.col("_metadata.file_path"))
+def read_shard(spark: SparkSession, path: str, stage: str) -> DataFrame:
+    """The files of one folder of a stage, or one file, with the partition keys that its path names as text."""
+    df = spark.read.option("recursiveFileLookup", True).parquet(path)
+    keys = hive_keys(F.url_decode(F.col("_metadata.file_path")))
     return df.withColumns({k: F.element_at(keys, F.lit(k)) for k in PARTITION_KEYS[stage] if k not in df.columns})
 
 

@@ -75,6 +75,13 @@ def test_both_edge_layouts_hold_the_same(spark, cohort, tmp_path):
         stages.read_edges(spark, cfg.output_root, "fixture_labels", columns=[*columns, "Other"])
 
 
+def test_one_leaf_reads_with_its_keys(spark, cohort):
+    _, cfg, act, _ = cohort
+    path = next(e.path for e in act if e.sub == "02" and e.atlas == "fixture_labels")
+    one = storage.read_shard(spark, path, "activation")
+    assert {(r["atlas"], r["cohort"], r["task"], r["sub"], r["leaf"]) for r in one.collect()} == {("fixture_labels", "fixture", "walk", "02", "data")} and one.count() == 120
+
+
 def test_second_run_skips(spark, cohort):
     _, cfg, _, _ = cohort
     assert {e.status for e in stages.extract_stage(spark, cfg)} == {"skipped"}
