@@ -1,6 +1,6 @@
 """Near-duplicate texts: classes that links make between texts whose sets of five-word shingles have a Jaccard similarity of LEAST or more.
 
-Candidates come from two sides. SimHash: texts whose 64-bit fingerprints over the shingles differ in at most two bits, found without loss by pigeonring (`simhash.links`).
+Candidates come from two sides. SimHash: texts whose 64-bit fingerprints over the distinct shingles differ in at most two bits, found without loss by pigeonring (`simhash.links`).
 That finds few appended or cut blocks: at a similarity of 0.8 two fingerprints differ in ten bits, which no ring of segments narrows down. So MinHash gives the rest:
 BANDS keys of ROWS minima each; texts of similarity 0.8 share a key with probability 0.998, wherever their edits are.
 A candidate pair whose fingerprints differ in more than FAR bits is dropped unseen: at similarity 0.8 that is five standard deviations away.
@@ -101,7 +101,7 @@ def prints(blocks: DataFrame, id_type: str) -> DataFrame:
                     text = t.as_py()
                     h = shingle_hashes(text)
                     node.append(xxh3_64_intdigest(b" ".join((text or "").encode("utf-8", "replace").lower().split())))
-                    fp.append(simhash.majority(h))
+                    fp.append(simhash.majority(np.unique(h)))
                     bands.append(band_keys(h))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([block] * len(node), pa.int64()), pa.array(range(len(node)), pa.int32()), rows.column("doc_id"), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))],
