@@ -167,26 +167,23 @@ def links(fps: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for the nodes of edges(a, b) but the roots; root is the least node of the component.
 
-    Large-star and small-star steps alternate until neither changes an edge; each round is written to the shared folder."""
-
-    def signature(e: DataFrame) -> tuple:
-        return e.select(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-
+    Large-star and small-star steps alternate until all edges lead straight to roots; each round is written to the shared folder."""
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
-    seen = signature(e)
-    if not seen[0]:
-        return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    while True:
+    while not _all_stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").filter("u != v").distinct()
         e = cut(small, "edges")
-        now = signature(e)
-        if now == seen:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = now
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def _all_stars(e: DataFrame) -> bool:
+    """Whether each u of the edges (u, v) has one v, which has none itself."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("out")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("out")))
+    wrong = ends.groupBy("x").agg(F.sum("out").alias("outs"), F.min("out").alias("least")).filter("outs > 1 OR (outs = 1 AND least = 0)")
+    return not wrong.limit(1).count()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text: str = "text") -> DataFrame:

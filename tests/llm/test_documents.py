@@ -80,6 +80,23 @@ def test_pigeonring_links_every_close_pair(spark, small_group, monkeypatch):
     assert [got.get(x, x) for x in f] == [f[i] for i in want]
 
 
+def test_components_of_chains_stars_and_rings(spark):
+    from nodetide.llm import simhash
+
+    rng = random.Random(15)
+    names = list({rng.randrange(-(1 << 62), 1 << 62) for _ in range(400)})
+    edges = [(names[i], names[i + 1]) for i in range(120)] + [(names[150], names[i]) for i in range(151, 250)]
+    edges += [(names[260 + i], names[260 + (i + 1) % 30]) for i in range(30)] + [(names[rng.randrange(300, 400)], names[rng.randrange(300, 400)]) for _ in range(90)] + [(names[5], names[5])]
+    rng.shuffle(edges)
+    root = {x: x for x in names}
+    for _ in range(400):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = dict(map(tuple, simhash.components(spark.createDataFrame(edges + edges[:9], "a long, b long")).collect()))
+    assert {x: got.get(x, x) for x in names} == root
+    assert simhash.components(spark.createDataFrame(edges[:0], "a long, b long")).count() == 0
+
+
 def repeat_words(w):
     n, seen, cover = len(w), {}, set()
     for i in range(n - 7):
