@@ -182,7 +182,8 @@ def _near_members(placed: DataFrame) -> DataFrame:
                 nodes += node[hit].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(nodes, pa.int64())], ["key", "node"])
 
-    grouped = _cells(placed, "node", "root", "fp").groupBy("key", "kind", "c", "d").agg(F.collect_list(F.struct("node", "root", "fp", "block")).alias("members"))
+    by = ["key", "kind", "c", "d"]
+    grouped = _cells(placed, "node", "root", "fp").repartition(*by).groupBy(*by).agg(F.collect_list(F.struct("node", "root", "fp", "block")).alias("members"))
     return grouped.select("key", "members").mapInArrow(run, "key long, node long").distinct()
 
 
