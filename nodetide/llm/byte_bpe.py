@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nodetide.llm.common import bound_batches
+
 #: Pre-tokens that a worker remembers with their ids, in each of two generations; longer ones are encoded each time they come.
 MEMORY = 60_000
 LONG = 64
@@ -154,6 +156,7 @@ def _schema_with(df: DataFrame, *more: str) -> str:
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", to: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """Adds `to`, the ids (array<int>) of `text`; keeps the columns named in `keep` (all, if None)."""
     keep = [c for c in (docs.columns if keep is None else keep) if c != to]
+    bound_batches(docs.sparkSession)
     d, ranks = docs.select(*dict.fromkeys([*keep, text])), rank_file(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,6 +188,7 @@ def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids", to: str =
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256: texts are encoded, and the ids alone decoded again, in one worker that holds one model."""
+    bound_batches(docs.sparkSession)
     d, ranks = docs.select("doc_id", F.col("text").cast("string").alias("text")), rank_file(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,6 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a batch that goes to a Python worker. Spark's own 64 MB are held on both sides at once, by every task.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for this session, unless somebody has chosen still smaller ones."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or not now.rstrip("bB").isdigit() or int(now.rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is named and all runs on this machine (local tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -37,6 +49,7 @@ _WRITTEN: list[str] = []
 
 def new_folder(spark: SparkSession, what: str) -> str:
     """A new place in the shared folder, which `release` deletes."""
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/nodetide-{what}-{uuid.uuid4().hex}"
     _WRITTEN.append(path)
     return path
