@@ -72,7 +72,7 @@ def kept_frames(spark: SparkSession, runs: DataFrame) -> DataFrame | None:
 
 
 def _shapes(paths: DataFrame, column: str) -> DataFrame:
-    """`column`, n_tr and shape (i,j,k) from the headers of images; n_tr is 1 for 3D and -1 for unreadable ones."""
+    """`column`, n_tr and shape (i,j,k) from the headers of images; n_tr is 0 for 3D and -1 for unreadable ones."""
     def read(batches):
         for frame in batches:
             n, shapes = [], []
@@ -80,7 +80,7 @@ def _shapes(paths: DataFrame, column: str) -> DataFrame:
                 try:
                     with nifti._open(p) as f:
                         shape = nifti.parse_header(f.read(352)).shape
-                    n.append(shape[3] if len(shape) == 4 else 1)
+                    n.append(shape[3] if len(shape) == 4 else 0)
                     shapes.append(",".join(map(str, shape[:3])))
                 except (OSError, ValueError, EOFError):
                     n.append(-1)
@@ -92,7 +92,7 @@ def _shapes(paths: DataFrame, column: str) -> DataFrame:
 
 def with_lengths(spark: SparkSession, runs: DataFrame) -> DataFrame:
     """Runs with n_tr and shape, from the headers of their files."""
-    sizes = _shapes(runs, "path").withColumn("n_tr", F.when(F.col("n_tr") > 1, F.col("n_tr")).otherwise(-1))
+    sizes = _shapes(runs, "path").withColumn("n_tr", F.when(F.col("n_tr") > 0, F.col("n_tr")).otherwise(-1))
     return runs.join(sizes, "path")
 
 
