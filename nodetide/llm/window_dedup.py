@@ -6,8 +6,8 @@ one packed string to the minimiser's bucket; equal windows always meet there, wh
 window exactly, and bits go back.
 
 Before that, one round asks which minimisers more than one document has, so that strings of unshared ones stay at home. A block sends equal strings once, with its
-least document. A minimiser that more than HOT blocks share would fill its bucket with strings; its windows are asked one by one,
-by a 128-bit hash of the window, which spreads them over all buckets and still finds the same words. See `blockwise`.
+least document. A minimiser that more than HOT blocks share would fill its bucket with strings; its windows get a second minimiser, the least K-gram by another hash, and travel as
+super-k-mers of that to its bucket: equal windows agree in both. See `blockwise`.
 
 Defined cases: a null or blank text has no words and nothing removed; a row without doc_id is neither cut nor a source; rows with equal doc_id aren't
 sources for each other; repeated rows get the same result; an empty table gives an empty result; texts of any length are taken whole.
@@ -27,6 +27,7 @@ from nodetide.llm import blockwise as B
 LENGTH = 50
 K = 12
 HOT = 512
+_OTHER = 0xD6E8FEB86659FD93
 
 
 def _ranks(words: list[bytes], length: int) -> bytes:
@@ -48,39 +49,42 @@ class _Block:
         self.flat = [w for ws in self.words for w in ws]
         sizes = self.sizes = np.array([len(w) for w in self.words], np.int64)
         hashes = np.fromiter(map(xxh3_64_intdigest, self.flat), np.uint64, len(self.flat))
-        self.a = a = B.Anchors(hashes, sizes, B.Ids(rows.column("doc_id")), K, length)
+        ids = B.Ids(rows.column("doc_id"))
+        self.a = a = B.Anchors(hashes, sizes, ids, K, length)
         if rounds < 1:
             return
         hot = B.by_bucket(a.key, got, 1, buckets, buckets)[a.of]
         shared = a.shared(got, buckets)[a.of]
-        # Super-k-mers of shared minimisers: each distinct string once, in the order of its minimiser.
         cold = np.flatnonzero(shared & ~hot)
-        cold = cold[np.argsort(a.of[cold], kind="stable")]
-        self.strings, self.place = {}, np.zeros(len(cold), np.int64)
-        self.cold, least, owner = cold, [], []
-        for i, r in enumerate(cold.tolist()):
-            s = b" ".join(self.flat[a.begin[r] : a.end[r] + length - 1])
-            k = self.strings.setdefault(s, len(self.strings))
+        self.begin, self.end, self.id, key = a.begin[cold], a.end[cold], a.id[cold], a.key[a.of[cold]]
+        if (split := np.flatnonzero(shared & hot)).size:
+            starts = len(hashes) - length + 1
+            edge = np.zeros(starts + 1, np.int64)
+            np.add.at(edge, a.begin[split], 1)
+            np.add.at(edge, a.end[split], -1)
+            least = B.sliding_min(B.rolling(B.mix64(hashes ^ np.uint64(_OTHER)), K), length - K + 1)
+            begin, end = B.runs(least, np.cumsum(edge[:-1]) > 0)
+            self.begin, self.end = np.concatenate((self.begin, begin)), np.concatenate((self.end, end))
+            self.id = np.concatenate((self.id, ids.value[a.doc_of[begin]]))
+            key = np.concatenate((key, B.mix64(least[begin] ^ np.uint64(_OTHER))))
+        # Super-k-mers of shared minimisers: each distinct string once, in the order of its minimiser.
+        order = np.argsort(key, kind="stable")
+        self.begin, self.end, self.id, key = self.begin[order], self.end[order], self.id[order], key[order]
+        self.strings, self.place, owner, least_id = {}, np.zeros(len(key), np.int64), [], []
+        for i, (x, y, d) in enumerate(zip(self.begin.tolist(), self.end.tolist(), self.id.tolist(), strict=True)):
+            k = self.strings.setdefault(b" ".join(self.flat[x : y + length - 1]), len(self.strings))
             self.place[i] = k
-            if k == len(least):
-                least.append(a.id[r])
-                owner.append(a.of[r])
-            elif a.id[r] < least[k]:
-                least[k] = a.id[r]
-        self.least = np.array(least, np.int64)
-        self.owner = np.array(owner, np.int64)
-        hot = np.flatnonzero(shared & hot)
-        counts = a.end[hot] - a.begin[hot]
-        self.at = np.repeat(a.begin[hot] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-        self.at_id = np.repeat(a.id[hot], counts)
-        rank = b"".join([_ranks(self.flat[b : e + length - 1], length) for b, e in zip(a.begin[hot].tolist(), a.end[hot].tolist(), strict=True)])
-        rank = np.frombuffer(rank, ">u8").astype(np.uint64).reshape(-1, 2)
-        self.hi, self.lo, self.rank_least, self.rank_of = B.least_by_pair(rank[:, 0], rank[:, 1], self.at_id)
+            if k == len(least_id):
+                least_id.append(d)
+                owner.append(i)
+            elif d < least_id[k]:
+                least_id[k] = d
+        self.least = np.array(least_id, np.int64)
+        self.key = key[np.array(owner, np.int64)]
 
     def _string_bounds(self) -> np.ndarray:
         """Where each bucket's strings begin and end; they are in the order of their minimisers."""
-        bounds, _ = B.split_buckets(self.a.key, self.buckets)
-        return np.searchsorted(self.owner, bounds)
+        return B.split_buckets(self.key, self.buckets)[0]
 
     def ask(self) -> dict[int, bytes]:
         out, strings, bounds = {}, list(self.strings), self._string_bounds()
@@ -88,16 +92,15 @@ class _Block:
             i, j = int(bounds[b]), int(bounds[b + 1])
             raw = b"\n".join(strings[i:j])
             out[b] = (j - i).to_bytes(4, "little") + self.least[i:j].tobytes() + len(raw).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-        bounds, _ = B.split_buckets(self.hi, self.buckets)
-        return out | {self.buckets + b: B.squeeze(self.hi[bounds[b] : bounds[b + 1]], self.lo[bounds[b] : bounds[b + 1]], self.rank_least[bounds[b] : bounds[b + 1]]) for b in np.flatnonzero(np.diff(bounds)).tolist()}
+        return out
 
     def removed(self, got: dict) -> np.ndarray:
-        a, n = self.a, len(self.flat)
+        n = len(self.flat)
         marks = np.zeros(n, bool)
         # The windows of all strings in a row, and of each whether an earlier document elsewhere has it.
-        runs = a.end - a.begin
+        runs = self.end - self.begin
         size = np.zeros(len(self.strings), np.int64)
-        size[self.place] = runs[self.cold]
+        size[self.place] = runs
         first = np.cumsum(size) - size
         smaller = np.zeros(int(size.sum()), bool)
         bounds = self._string_bounds()
@@ -106,14 +109,11 @@ class _Block:
             if data := got.get((2, b)):
                 i, j = ends[bounds[b]], ends[bounds[b + 1]]
                 smaller[i:j] = B.unbits(data, int(j - i))
-        counts = runs[self.cold]
-        step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        at = np.repeat(a.begin[self.cold], counts) + step
+        step = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
+        at = np.repeat(self.begin, runs) + step
         # Strings of this block overlap in windows too: the answer weighs them with all others.
-        later = np.repeat(a.id[self.cold] > self.least[self.place], counts)
-        marks[at[smaller[np.repeat(first[self.place], counts) + step] | later]] = True
-        smaller = B.by_bucket(self.hi, got, 2, self.buckets, self.buckets)
-        marks[self.at[smaller[self.rank_of] | (self.at_id > self.rank_least[self.rank_of])]] = True
+        later = np.repeat(self.id > self.least[self.place], runs)
+        marks[at[smaller[np.repeat(first[self.place], runs) + step] | later]] = True
         return B.dilate(marks, self.length) if n else marks
 
 
@@ -146,7 +146,7 @@ def report(docs: DataFrame, length: int = LENGTH, block_bytes: int | None = None
     asked = B.questions(blocks, None, lambda r, g: block(r, g, 0).a.ask(n))
     first = B.answer(asked, 1, lambda q, bucket: _reply_minimisers(q, hot), n)
     asked = B.questions(blocks, first, lambda r, g: block(r, g, 1).ask())
-    second = first.unionByName(B.answer(asked, 2, lambda q, bucket: B.reply_smaller([B.expand(x) for x in q]) if bucket >= n else _reply_windows(q, length)))
+    second = first.unionByName(B.answer(asked, 2, lambda q, bucket: _reply_windows(q, length)))
 
     def last(rows: pa.RecordBatch, got: dict) -> pa.RecordBatch:
         b = block(rows, got, 1)
