@@ -54,7 +54,7 @@ def key(r):
     return tuple((x is not None, x) for x in r)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 3000])
+@pytest.mark.parametrize("block_bytes", [1 << 20, 3000, 400])
 def test_suffix_dedup(spark, block_bytes):
     from nodetide.llm import suffix_dedup
 
@@ -62,7 +62,7 @@ def test_suffix_dedup(spark, block_bytes):
     for d, u, gone in brute(rows(), lambda t: (t or "").encode(), 50):
         spans = sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone))
         want.append((d, len(u), sum(gone), spans, hashlib.sha256(bytes(b for b, g in zip(u, gone) if not g)).hexdigest()))
-    docs = spark.createDataFrame(rows(), "doc_id long, text string").repartition(3)
+    docs = spark.createDataFrame([(*r, "clash", 1) for r in rows()], "doc_id long, text string, n_bytes string, block int").repartition(3)
     got = [tuple(r) for r in suffix_dedup.report(docs, block_bytes=block_bytes).collect()]
     assert sorted(got, key=key) == sorted(want, key=key)
     assert sum(r[2] for r in got) > 2000
@@ -79,14 +79,14 @@ def test_cut_texts_keeps_columns_and_characters(spark):
     assert suffix_dedup.report(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("block_bytes,hot", [(1 << 20, 512), (3000, 512), (3000, 2)])
+@pytest.mark.parametrize("block_bytes,hot", [(1 << 20, 512), (3000, 2), (400, 1)])
 def test_window_dedup(spark, block_bytes, hot):
     from nodetide.llm import window_dedup
 
     want = []
     for d, u, gone in brute(rows(), lambda t: WORD.findall((t or "").encode()), 50):
         want.append((d, len(u), sum(gone), hashlib.sha256(b" ".join(w for w, g in zip(u, gone) if not g)).hexdigest()))
-    docs = spark.createDataFrame(rows(), "doc_id long, text string").repartition(3)
+    docs = spark.createDataFrame([(*r, "clash", 1) for r in rows()], "doc_id long, text string, n_words string, block int").repartition(3)
     got = [tuple(r) for r in window_dedup.report(docs, block_bytes=block_bytes, hot=hot).collect()]
     assert sorted(got, key=key) == sorted(want, key=key)
     assert sum(r[2] for r in got) > 500
