@@ -22,6 +22,8 @@ from nodetide.llm.common import cut, new_folder
 #: Bytes of text in a block, and bytes of text for each bucket.
 BLOCK_BYTES = 2 << 20
 BUCKET_BYTES = 16 << 20
+#: Units that hashes and minimisers are taken of at a time.
+PIECE = 1 << 15
 LEAST_BUCKETS = 256
 _QUESTION = "block long, bucket int, data binary"
 _ANSWER = "block long, round int, bucket int, data binary"
@@ -245,9 +247,12 @@ def runs(least: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def dilate(marks: np.ndarray, length: int) -> np.ndarray:
-    """Whether each unit lies in a window of `length` units whose start is marked."""
-    last = np.maximum.accumulate(np.where(marks, np.arange(len(marks)), -length))
-    return np.arange(len(marks)) - last < length
+    """Whether each unit lies in a window of `length` units whose start is marked; windows end within the units."""
+    at = np.flatnonzero(marks)
+    edge = np.zeros(len(marks) + 1, np.int32)
+    edge[at] = 1
+    edge[at + length] -= 1
+    return np.cumsum(edge[:-1], dtype=np.int32) > 0
 
 
 class Ids:
@@ -267,17 +272,16 @@ class Anchors:
 
     def __init__(self, hashes: np.ndarray, sizes: np.ndarray, ids: Ids, k: int, length: int):
         n = len(hashes)
-        self.doc_of = np.repeat(np.arange(len(sizes)), sizes)
-        if n < length:
-            self.begin = self.end = np.zeros(0, np.int64)
-            least = np.zeros(0, np.uint64)
-        else:
-            least = sliding_min(rolling(hashes, k), length - k + 1)
-            starts = n - length + 1
-            ends = np.cumsum(sizes)
-            valid = (ends[self.doc_of[:starts]] - np.arange(starts) >= length) & ~ids.null[self.doc_of[:starts]]
-            self.begin, self.end = runs(least, valid)
-        self.doc = self.doc_of[self.begin]
+        self.ends = np.cumsum(sizes)
+        starts = max(0, n - length + 1)
+        least, valid = np.zeros(starts, np.uint64), np.ones(starts, bool)
+        for lo in range(0, starts, PIECE):  # a piece at a time stays in the processor's cache
+            part = hashes[lo : min(starts, lo + PIECE) + length - 1]
+            least[lo : lo + PIECE] = sliding_min(rolling(part, k), length - k + 1)
+        for first, end, null in zip((self.ends - sizes).tolist(), self.ends.tolist(), ids.null.tolist(), strict=True):
+            valid[first if null else max(first, end - length + 1) : end] = False
+        self.begin, self.end = runs(least, valid)
+        self.doc = self.doc_at(self.begin)
         self.id = ids.value[self.doc]
         # Least hashes are small numbers; mixed anew they fall into all buckets alike.
         self.key, self.of = np.unique(mix64(least[self.begin] + np.uint64(_MULT)), return_inverse=True)
@@ -286,6 +290,10 @@ class Anchors:
         np.maximum.at(high, self.of, self.doc)
         self.several = low != high
 
+    def doc_at(self, unit: np.ndarray) -> np.ndarray:
+        """The document that each unit is of."""
+        return np.searchsorted(self.ends, unit, side="right")
+
     def ask(self, buckets: int) -> dict[int, bytes]:
         """Which minimisers do other blocks hold?"""
         bounds, keys = split_buckets(self.key, buckets)

@@ -88,11 +88,11 @@ class _Block:
     def removed(self, got: dict) -> np.ndarray:
         """Whether each byte goes."""
         n = len(self.data)
-        edge = np.zeros(n + 1, np.int64)
+        edge = np.zeros(n + 1, np.int32)
         done = self.live[self.covered]
         np.add.at(edge, self.a.begin[done], 1)
         np.add.at(edge, self.a.end[done], -1)
-        marks = np.cumsum(edge[:n]) > 0
+        marks = np.cumsum(edge[:n], dtype=np.int32) > 0
         smaller = B.by_bucket(self.hi, got, 3, self.buckets)
         marks[self.at[smaller[self.rank_of] | (self.at_id > self.rank_least[self.rank_of])]] = True
         return B.dilate(marks, self.length)
@@ -135,7 +135,9 @@ def report(docs: DataFrame, length: int = LENGTH, block_bytes: int | None = None
         begins = ends - b.sizes
         total = np.concatenate(([0], np.cumsum(gone)))
         opens = gone.copy()
-        opens[1:] &= ~(gone[:-1] & (b.a.doc_of[1:] == b.a.doc_of[:-1]))
+        opens[1:] &= ~gone[:-1]
+        first = begins[b.sizes > 0]  # a run that ends a document goes on in no other
+        opens[first] = gone[first]
         spans = np.concatenate(([0], np.cumsum(opens)))
         sha = [hashlib.sha256(b.data[i:j][~gone[i:j]].tobytes()).hexdigest() for i, j in zip(begins.tolist(), ends.tolist(), strict=True)]
         return pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(b.sizes, pa.int64()), pa.array(total[ends] - total[begins], pa.int64()), pa.array(spans[ends] - spans[begins], pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])

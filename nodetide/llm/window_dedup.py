@@ -65,7 +65,7 @@ class _Block:
             least = B.sliding_min(B.rolling(B.mix64(hashes ^ np.uint64(_OTHER)), K), length - K + 1)
             begin, end = B.runs(least, np.cumsum(edge[:-1]) > 0)
             self.begin, self.end = np.concatenate((self.begin, begin)), np.concatenate((self.end, end))
-            self.id = np.concatenate((self.id, ids.value[a.doc_of[begin]]))
+            self.id = np.concatenate((self.id, ids.value[a.doc_at(begin)]))
             key = np.concatenate((key, B.mix64(least[begin] ^ np.uint64(_OTHER))))
         # Super-k-mers of shared minimisers: each distinct string once, in the order of its minimiser.
         order = np.argsort(key, kind="stable")
