@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from nodetide.llm.common import bound_batches
 
 #: Pre-tokens that a worker remembers with their ids, in each of two generations; longer ones are encoded each time they come.
-MEMORY = 60_000
+MEMORY = 150_000
 LONG = 64
 #: Bytes of text that a worker encodes at a time, one text at least.
 SLICE_BYTES = 1 << 20
