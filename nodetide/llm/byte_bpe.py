@@ -90,6 +90,8 @@ class Codec:
         self.table = {b: c for b, c in enumerate(byte_characters())}
         back = {c: b for b, c in self.table.items()}
         self.pieces = [bytes(back[c] for c in self.model.IdToPiece(i + 1)) for i in range(len(tokens))]
+        self.piece_column = pa.array(self.pieces, pa.large_binary())
+        self.name_column = pa.array([b"%d," % i for i in range(len(tokens))], pa.large_binary())
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
@@ -134,6 +136,24 @@ class Codec:
     def encode(self, text: str | None) -> bytes:
         return self.encode_all([text])[0]
 
+    def digest_all(self, packed: list[bytes]) -> tuple[list[int], list[str], list[str]]:
+        """Of each text's packed ids: how many, and the SHA-256 of their decimal numbers joined by commas and of the bytes that they decode to."""
+        import numpy as np
+
+        counts = [len(p) // 4 for p in packed]
+        ids = pa.array(np.frombuffer(b"".join(packed), "<i4"))
+        ends = np.cumsum([0, *counts])
+
+        def digests(column: pa.Array, cut: int) -> list[str]:
+            taken = column.take(ids)
+            if not len(taken):
+                return [hashlib.sha256().hexdigest()] * len(packed)
+            offsets = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(taken) + 1][ends].tolist()
+            data = memoryview(taken.buffers()[2])
+            return [hashlib.sha256(data[a : max(a, b - cut)]).hexdigest() for a, b in zip(offsets, offsets[1:])]
+
+        return counts, digests(self.name_column, 1), digests(self.piece_column, 0)
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
 
@@ -192,18 +212,10 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     d, ranks = docs.select("doc_id", F.col("text").cast("string").alias("text")), rank_file(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         c = codec(ranks, pattern)
-        sha = lambda raw: hashlib.sha256(raw).hexdigest()
         for batch in batches:
             for b in _slices(batch, "text"):
-                n, ids_sha, text_sha = [], [], []
-                for packed in c.encode_all(b.column("text").to_pylist()):
-                    ids = np.frombuffer(packed, "<i4").tolist()
-                    n.append(len(ids))
-                    ids_sha.append(sha(",".join(map(str, ids)).encode()))
-                    text_sha.append(sha(c.decode(ids)))
+                n, ids_sha, text_sha = c.digest_all(c.encode_all(b.column("text").to_pylist()))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
         c.forget()
 
