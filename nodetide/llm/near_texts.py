@@ -6,9 +6,11 @@ BANDS keys of ROWS minima each; texts of similarity 0.8 share a key with probabi
 A candidate pair whose fingerprints differ in more than FAR bits is dropped unseen: at similarity 0.8 that is five standard deviations away.
 
 Every link is checked by the similarity of the two sets (32-bit hashes of the shingles). The members of a MinHash key are compared with its least member first, and of these each text with the closest
-by fingerprint before the others, which are compared only if the classes don't join them already. Keys that then still hold several classes have
-the members that are within FAR bits of another class compared with each other, in cells of two blocks of at most BLOCK members, so that no large group
-lands in one task. That part grows with the square of the number of texts that share a key and are near in their fingerprints without being similar.
+by fingerprint before the others, which are compared only if the classes don't join them already. The members of keys that then still hold several classes are dealt into blocks of BLOCK and compared within them,
+which settles keys of no more members and joins most of a large group of near copies. Larger keys that still hold several classes are left to an exact join: sets are read in one order,
+rare shingles first, and two similar sets must share one of the first that each lists (prefix and position filter). So texts that share a frame without being similar meet only by shingles that few hold.
+What a shingle is counted by is a bucket of 2^BUCKET_BITS, over all sets; it decides the order only, not what is found.
+A shingle that over 16 BLOCK listed sets share is dealt into cells of two blocks, so that no large group lands in one task.
 
 Documents are packed into blocks (see `blockwise`), so their texts are never shuffled: what travels are keys, and the sets of texts that have a candidate.
 
@@ -35,6 +37,7 @@ BANDS = 16
 ROWS = 5
 FAR = 24
 BLOCK = 64
+BUCKET_BITS = 18
 
 
 def shingle_hashes(text: str | None) -> np.ndarray:
@@ -145,53 +148,31 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return cut(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "verified")
 
 
-def _cells(members: DataFrame, *columns: str) -> DataFrame:
-    """members(key, node, root, ...) dealt into cells, as key, kind, c, d, block and `columns`: all that pairs of different roots under a key need.
-
-    The largest class of a key meets the other members only: in cells of kind 0, of a block of it (block -1 there) and a block of others. The others meet each
-    other in cells of kind 1, of two of their blocks. A block has BLOCK members on average."""
-    sizes = cut(members.groupBy("key", "root").agg(F.count("*").alias("n")), "sizes")
-    keys = cut(sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.max("n").alias("large"), F.sum("n").alias("all"), F.count("*").alias("roots")).filter("roots > 1").select("key", "most", "large", (F.col("all") - F.col("large")).alias("rest")), "cells")
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    held = members.join(keys, "key").withColumns({"own": blocks("large"), "others": blocks("rest"), "chief": F.col("root") == F.col("most")})
-    held = held.withColumn("at", F.pmod(F.xxhash64("node", "key"), F.when(F.col("chief"), F.col("own")).otherwise(F.col("others"))).cast("int"))
-    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    cell = lambda kind, c, d, block: F.struct(F.lit(kind).alias("kind"), c.alias("c"), d.alias("d"), block.alias("block"))
-    at = F.col("at")
-    chief = F.transform(upto("others"), lambda j: cell(0, at, j, F.lit(-1)))
-    rest = F.concat(F.transform(upto("own"), lambda i: cell(0, i, at, at)), F.transform(upto("others"), lambda j: cell(1, F.least(at, j), F.greatest(at, j), at)))
-    return held.withColumn("cell", F.explode(F.when(F.col("chief"), chief).otherwise(rest))).select("key", "cell.*", *columns)
+def _several(members: DataFrame, least: int = 2) -> DataFrame:
+    """Those of members(key, node, root, fp) whose keys hold several roots and at least so many members, with n, their number."""
+    keys = members.groupBy("key").agg(F.min("root").alias("u"), F.max("root").alias("v"), F.count("*").alias("n")).filter("u != v").filter(F.col("n") >= least).select("key", "n")
+    return cut(members.join(cut(keys, "several"), "key"), "open")
 
 
-def _near_members(placed: DataFrame) -> DataFrame:
-    """Of placed(key, node, root, fp) those within FAR bits of a member of another root under their key, as (key, node)."""
+def _block_links(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """Similar pairs (a, b) of different roots within blocks of BLOCK members on average: all that keys of no more members need."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, nodes = [], []
-            for key, members in zip(b.column("key").to_pylist(), b.column("members"), strict=True):
-                node, root, fp, block = (members.values.field(c).to_numpy(zero_copy_only=False) for c in ("node", "root", "fp", "block"))
-                mixed, hit = block.min() != block.max(), np.zeros(len(node), bool)
-                for i in range(0, len(node), 512):  # a part of the matrix at a time
-                    near = np.bitwise_count((fp[i : i + 512, None] ^ fp[None, :]).view(np.uint64)) <= FAR
-                    near &= root[i : i + 512, None] != root[None, :]
-                    if mixed:
-                        near &= block[i : i + 512, None] != block[None, :]
-                    hit[i : i + 512] = near.any(1)
-                keys += [key] * int(hit.sum())
-                nodes += node[hit].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(nodes, pa.int64())], ["key", "node"])
+            found = [x for m in b.column("members") for x in _links_among(m.as_py())]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
-    by = ["key", "kind", "c", "d"]
-    grouped = _cells(placed, "node", "root", "fp").repartition(*by).groupBy(*by).agg(F.collect_list(F.struct("node", "root", "fp", "block")).alias("members"))
-    return grouped.select("key", "members").mapInArrow(run, "key long, node long").distinct()
+    block = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / BLOCK)).alias("block")
+    dealt = open_.select("key", block, "node", "root", "fp").join(sets, "node")
+    grouped = dealt.groupBy("key", "block").agg(F.collect_list(F.struct("node", "root", "fp", "s")).alias("members"))
+    return cut(grouped.select("members").mapInArrow(run, "a long, b long").distinct(), "within")
 
 
-def _cell_links(members: list[dict]) -> list[tuple[int, int]]:
-    """Similar pairs of one cell that join two classes; of a cell of two blocks only pairs between them."""
+def _links_among(members: list[dict]) -> list[tuple[int, int]]:
+    """Similar pairs of the members that join two classes."""
     sets = [np.frombuffer(m["s"], np.uint32) for m in members]
     tree: dict[int, int] = {m["root"]: m["root"] for m in members}
-    mixed, out = len({m["block"] for m in members}) > 1, []
+    out = []
 
     def root(i: int) -> int:
         while tree[i] != i:
@@ -202,7 +183,7 @@ def _cell_links(members: list[dict]) -> list[tuple[int, int]]:
     for i, m in enumerate(members):
         for j in range(i):
             o = members[j]
-            if (mixed and m["block"] == o["block"]) or ((m["fp"] ^ o["fp"]) & (1 << 64) - 1).bit_count() > FAR:
+            if ((m["fp"] ^ o["fp"]) & (1 << 64) - 1).bit_count() > FAR:
                 continue
             p, q = root(m["root"]), root(o["root"])
             if p != q and similar(sets[i], sets[j]):
@@ -211,18 +192,108 @@ def _cell_links(members: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def _rest_links(placed: DataFrame, sets: DataFrame) -> DataFrame:
-    """Similar pairs (a, b) of different roots within the keys of placed(key, node, root, fp)."""
-    near = cut(_near_members(placed).join(placed, ["key", "node"]), "near")
+def common(x, y):
+    """The least number of shingles that similar sets of sizes x and y have in common."""
+    return np.ceil(LEAST / (1 + LEAST) * (x + y) - 1e-6)
+
+
+def _frequencies(held: DataFrame) -> np.ndarray:
+    """How many of the sets s hold a shingle of each bucket (its lowest bits), summed over all sets in slices."""
+    size, slices = 1 << BUCKET_BITS, 64
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for b in batches:
+            held = np.frombuffer(b"".join(b.column("s").to_pylist()), np.uint32)
+            total += np.bincount(held & np.uint32(size - 1), minlength=size)
+        parts = [(i, x.tobytes()) for i, x in enumerate(total.reshape(slices, -1)) if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], ["slice", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sums = [sum(np.frombuffer(x, np.int64) for x in many).tobytes() for many in b.column("n").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("slice"), pa.array(sums, pa.binary())], ["slice", "n"])
+
+    out = np.zeros((slices, size // slices), np.int64)
+    for r in held.select("s").mapInArrow(count, "slice int, n binary").groupBy("slice").agg(F.collect_list("n").alias("n")).mapInArrow(add, "slice int, n binary").collect():  # 64 rows of a fixed size
+        out[r["slice"]] = np.frombuffer(r.n, np.int64)
+    return out.reshape(-1)
+
+
+def _first_shingles(held: DataFrame) -> DataFrame:
+    """key (a shingle), node, root, fp, size (of the node's set), left (shingles of the set from this one on) for those shingles of held(node, root, fp, s) by which a similar set must be found.
+
+    All sets are read in one order, rare buckets first. Sets that have c shingles in common have the first of them where each still has c left, so only shingles with enough left are listed;
+    those alone in their bucket are in no other set."""
+    seen = _frequencies(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [x for m in b.column("members") for x in _cell_links(m.as_py())]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+            row, key, left = [], [], []
+            sizes = []
+            for i, s in enumerate(b.column("s").to_pylist()):
+                x = np.frombuffer(s, np.uint32)
+                n = seen[x & np.uint32(len(seen) - 1)]
+                begin = np.lexsort((x, n))[: len(x) - int(np.ceil(LEAST * len(x) - 1e-6)) + 1]
+                shared = n[begin] > 1
+                row.append(np.full(int(shared.sum()), i))
+                key.append(x[begin][shared])
+                left.append((len(x) - np.arange(len(begin)))[shared])
+                sizes.append(np.full(int(shared.sum()), len(x)))
+            if not row:
+                continue
+            at = pa.array(np.concatenate(row))
+            numbers = [pa.array(np.concatenate(v).astype(t)) for v, t in ((key, np.int64), (sizes, np.int32), (left, np.int32))]
+            yield pa.RecordBatch.from_arrays([numbers[0], *(b.column(c).take(at) for c in ("node", "root", "fp")), *numbers[1:]], ["key", "node", "root", "fp", "size", "left"])
+
+    return held.select("node", "root", "fp", "s").mapInArrow(run, "key long, node long, root long, fp long, size int, left int")
+
+
+def _cells(members: DataFrame, most: int, *columns: str) -> DataFrame:
+    """members(key, node, root, ...) dealt into cells, as key, kind, c, d, block and `columns`: all that pairs of different roots under a key need.
+
+    The largest class of a key meets the other members only: in cells of kind 0, of a block of it (block -1 there) and a block of others. The others meet each
+    other in cells of kind 1, of two of their blocks. A block has `most` members on average."""
+    sizes = cut(members.groupBy("key", "root").agg(F.count("*").alias("n")), "sizes")
+    keys = cut(sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.max("n").alias("large"), F.sum("n").alias("all"), F.count("*").alias("roots")).filter("roots > 1").select("key", "most", "large", (F.col("all") - F.col("large")).alias("rest")), "cells")
+    blocks = lambda n: F.ceil(F.col(n) / most).cast("int")
+    held = members.join(keys, "key").withColumns({"own": blocks("large"), "others": blocks("rest"), "chief": F.col("root") == F.col("most")})
+    held = held.withColumn("at", F.pmod(F.xxhash64("node", "key"), F.when(F.col("chief"), F.col("own")).otherwise(F.col("others"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cell = lambda kind, c, d, block: F.struct(F.lit(kind).alias("kind"), c.alias("c"), d.alias("d"), block.alias("block"))
+    at = F.col("at")
+    chief = F.transform(upto("others"), lambda j: cell(0, at, j, F.lit(-1)))
+    rest = F.concat(F.transform(upto("own"), lambda i: cell(0, i, at, at)), F.transform(upto("others"), lambda j: cell(1, F.least(at, j), F.greatest(at, j), at)))
+    return held.withColumn("cell", F.explode(F.when(F.col("chief"), chief).otherwise(rest))).select("key", "cell.*", *columns)
+
 
-    cells = _cells(near, "node", "root", "fp").join(sets, "node")
-    grouped = cells.groupBy("key", "kind", "c", "d").agg(F.collect_list(F.struct("node", "root", "block", "fp", "s")).alias("members"))
-    return cut(grouped.select("members").mapInArrow(run, "a long, b long").distinct(), "rest")
+def _first_links(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """Similar pairs (a, b) of different roots among the nodes of open_(node, root, fp), found by a shingle that both must begin with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            first, second = [], []
+            for members in b.column("members"):
+                node, root, fp, block, size, left = (members.values.field(c).to_numpy(zero_copy_only=False) for c in ("node", "root", "fp", "block", "size", "left"))
+                mixed = block.min() != block.max()
+                for i in range(0, len(node), 512):  # a part of the matrix at a time
+                    part = slice(i, i + 512)
+                    need = common(size[part, None], size[None, :])
+                    ok = (left[part, None] >= need) & (left[None, :] >= need) & (root[part, None] < root[None, :])
+                    ok &= np.bitwise_count((fp[part, None] ^ fp[None, :]).view(np.uint64)) <= FAR
+                    if mixed:
+                        ok &= block[part, None] != block[None, :]
+                    x, y = np.nonzero(ok)
+                    first += node[part][x].tolist()
+                    second += node[y].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64())], ["a", "b"])
+
+    held = cut(open_.join(sets, "node"), "open-sets")
+    listed = cut(_first_shingles(held), "first")
+    by = ["key", "kind", "c", "d"]
+    grouped = _cells(listed, 16 * BLOCK, "node", "root", "fp", "size", "left").groupBy(*by).agg(F.collect_list(F.struct("node", "root", "fp", "block", "size", "left")).alias("members"))
+    pairs = grouped.select("members").mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return _verified(cut(pairs.distinct(), "candidates"), sets)
 
 
 def classes(blocks: DataFrame, id_type: str) -> tuple[DataFrame, DataFrame]:
@@ -252,12 +323,17 @@ def classes(blocks: DataFrame, id_type: str) -> tuple[DataFrame, DataFrame]:
     other = _apart(pairs.select("a", "b").exceptAll(best), tree)
     links = links.unionByName(_verified(other, sets))
     tree = simhash.components(links)
-    rooted = shared.select("key", "node", "fp").join(tree, "node", "left").select("key", "node", "fp", F.coalesce("root", "node").alias("root"))
-    open_ = rooted.groupBy("key").agg(F.min("root").alias("u"), F.max("root").alias("v")).filter("u != v").select("key")
-    open_ = cut(open_, "several")
-    more = _rest_links(cut(rooted.join(open_, "key"), "open"), sets)
+    rooted = lambda members: members.select("key", "node", "fp").join(tree, "node", "left").select("key", "node", "fp", F.coalesce("root", "node").alias("root"))
+    open_ = _several(rooted(shared))
+    more = _block_links(open_, sets)
     if more.limit(1).count():
-        tree = simhash.components(links.unionByName(more))
+        links = links.unionByName(more)
+        tree = simhash.components(links)
+    open_ = _several(rooted(open_), BLOCK + 1)  # keys of fewer members are settled
+    if open_.limit(1).count():
+        more = _first_links(open_.select("node", "root", "fp").distinct(), sets)
+        if more.limit(1).count():
+            tree = simhash.components(links.unionByName(more))
     return p, tree
 
 

@@ -195,3 +195,52 @@ def test_wide_keeps_a_row_of_each_class_whatever_its_id(spark):
     rows = [(0, t[0]), (1, t[0]), (1, t[1]), (None, t[2]), (None, t[3]), (None, t[4]), (2, t[4]), (None, t[3]), (3, t[5]), (3, t[5])]
     kept = sorted((tuple(r) for r in w.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert kept == sorted([(0, t[0]), (1, t[1]), (None, t[2]), (None, t[3]), (2, t[4]), (3, t[5])], key=str)
+
+
+def test_wide_rows_of_a_large_group_grow_with_its_size(spark, monkeypatch):
+    from nodetide.llm import near_texts as w
+
+    monkeypatch.setattr(w, "BLOCK", 8)
+    real, made = w._cells, []
+
+    def cells(*a):
+        out = real(*a)
+        made[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(w, "_cells", cells)
+    rng = random.Random(14)
+    say = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    frame = say(100)
+    for n in (60, 240):
+        made.append(0)
+        # Every third text is near the frame, the others have too much of their own.
+        rows = [(i, " ".join(frame + say(2 if i % 3 == 0 else 18 + i % 5))) for i in range(n)]
+        c = classes(n, lambda i, j: jaccard(rows[i][1], rows[j][1]) >= 0.8) if n == 60 else None
+        got = dict(map(tuple, w.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+        assert c is None or got == dict(enumerate(c))
+    assert made[1] <= 8 * max(made[0], n)  # 16 times with the square
+
+
+@pytest.mark.parametrize("bits,block", [(18, 64), (6, 1)])
+def test_first_shingles_find_all_pairs(spark, bits, block, monkeypatch):
+    import numpy as np
+
+    from nodetide.llm import near_texts as w
+
+    monkeypatch.setattr(w, "BLOCK", block)
+    monkeypatch.setattr(w, "BUCKET_BITS", bits)
+    rng = np.random.default_rng(15)
+    base, sets = rng.integers(0, 1 << 32, 60, np.uint32), []
+    for i in range(120):
+        own = base[: rng.integers(45, 61)].copy()
+        own[rng.random(len(own)) < 0.08] = 0
+        sets.append(np.unique(np.concatenate([own[own > 0], rng.integers(0, 1 << 32, rng.integers(0, 5), np.uint32)])))
+    sets += [sets[0][:1], sets[0][:1], sets[1][:4], sets[1][:5]]
+    root = [i if i % 3 else i % 9 for i in range(len(sets))]
+    open_ = spark.createDataFrame([(i, r, 0) for i, r in enumerate(root)], "node long, root long, fp long")
+    got = w._first_links(open_, spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "node long, s binary").repartition(3))
+    near = lambda x, y: 9 * len(np.intersect1d(x, y)) >= 4 * (len(x) + len(y))
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if root[i] != root[j] and near(sets[i], sets[j])}
+    rows = list(map(tuple, got.collect()))
+    assert len(rows) == len(set(rows)) and set(rows) == want and 100 < len(want) < 6000
