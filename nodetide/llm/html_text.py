@@ -5,8 +5,8 @@ boilerplate as sink). Blocks that follow each other and blocks that share a cont
 The minimum cut, found by maximum flow, separates content from the rest: a short line between paragraphs goes with them, one between menu entries with those.
 
 The classifier adds the evidence of the containers (what elements and their names say) and that of the block's own shape: share of its text in links, words, whether it ends like a
-sentence, its element. The odds of each shape are trained on the pages at hand: where containers are outspoken, their blocks count as examples, in one pass with sums of a
-fixed size over one page of TRAINING, by hash of its html. PRIOR_BLOCKS blocks of fixed odds of each kind come first, so that few pages don't sway them.
+sentence, its element. The odds of each shape are trained on the pages at hand: where containers are outspoken, their blocks count as examples, in one pass over all pages
+with sums of a fixed size. PRIOR_BLOCKS blocks of fixed odds of each kind come first, so that few pages don't sway them.
 
 Blocks whose own capacity outweighs all their edges keep their side in some minimum cut; they are settled first, and what is left falls apart into
 small graphs for the flow. Reading a page takes time in proportion to its length, whatever its markup.
@@ -62,8 +62,8 @@ SHAPE_ODDS = {
 ELEMENT_KIND = {"p": 1, "blockquote": 1, "pre": 1, "h1": 2, "h2": 2, "h3": 2, "h4": 2, "h5": 2, "h6": 2, "li": 3, "td": 4, "th": 4, "dt": 4, "dd": 4}
 #: Shapes depend on each other, so their odds count in part; one shape says no more than this.
 SHAPE_SHARE, SHAPE_MOST = 0.6, 2.5
-#: One page of so many trains; the prior's weight in blocks; containers beyond these odds are outspoken.
-TRAINING, PRIOR_BLOCKS, OUTSPOKEN = 8, 200, (-3.0, 1.0)
+#: The prior's weight in blocks; containers beyond these odds are outspoken.
+PRIOR_BLOCKS, OUTSPOKEN = 200, (-3.0, 1.0)
 
 #: Smoothness: of neighbours in the page, of neighbours in a container, and what each step up the DOM to a common container leaves.
 NEXT_EDGE, SIBLING_EDGE, PER_STEP = 1.2, 0.8, 0.7
@@ -260,21 +260,23 @@ def shape(block: Block) -> tuple[int, int, int, int]:
     return sum(links > x for x in LINK_BINS), sum(words > x for x in WORD_BINS), int(block.text[-1] in ".!?:\"”»…。！？"), ELEMENT_KIND.get(block.element.tag, 0)
 
 
-def train(pages: DataFrame, share: int = TRAINING) -> dict[str, tuple[float, ...]]:
-    """The odds of each shape, from the blocks of outspoken containers on one page of `share`."""
+def train(pages: DataFrame, share: int = 1) -> dict[str, tuple[float, ...]]:
+    """The odds of each shape, from the blocks of outspoken containers of all pages; a caller may ask for one page of `share` only, by hash of its html."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
             for page in batch.column("html"):
-                for b in blocks_of(page.as_py()):
+                for b in blocks_of(page.as_py() or ""):
                     said = b.element.good + b.element.bad
                     if said < OUTSPOKEN[0] or said > OUTSPOKEN[1]:
                         seen.update((k, x, said > 0) for k, x in enumerate(shape(b)))
         rows = list(seen.items())
         yield pa.RecordBatch.from_arrays([pa.array([r[0][i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.bool_()))] + [pa.array([r[1] for r in rows], pa.int64())], ["shape", "bin", "good", "n"])
 
-    drawn = pages.select(F.col("html").cast("string").alias("html")).filter(F.pmod(F.xxhash64("html"), F.lit(share)) == 0)
+    drawn = pages.select(F.col("html").cast("string").alias("html"))
+    if share > 1:
+        drawn = drawn.filter(F.pmod(F.xxhash64("html"), F.lit(share)) == 0)
     sums = drawn.mapInArrow(run, "shape int, bin int, good boolean, n long").groupBy("shape", "bin", "good").agg(F.sum("n").alias("n"))
     return shape_odds({(r["shape"], r["bin"], r["good"]): r.n for r in sums.collect()})  # a row for each bin and side
 

@@ -153,3 +153,17 @@ def test_training_learns_shapes(spark):
     assert all(abs(x) <= h.SHAPE_MOST for t in odds.values() for x in t)
     few = h.train(spark.createDataFrame(pages[:1], "page_id long, url string, html string"), 1)
     assert all(abs(a - b) < 1.2 for k in few for a, b in zip(few[k], h.shape_odds({})[k]))
+
+
+def test_training_counts_every_page(spark):
+    from nodetide.llm import html_text as h
+
+    pages = [(i, "u", f"<article><p>{'word ' * (i % 60)}{i}.</p></article><footer><p>{'x ' * (i % 7)}{i}</p></footer>") for i in range(200)] + [(None, "u", None)]
+    seen = {}
+    for _, _, page in pages:
+        for b in h.blocks_of(page or ""):
+            said = b.element.good + b.element.bad
+            if said < h.OUTSPOKEN[0] or said > h.OUTSPOKEN[1]:
+                for k, x in enumerate(h.shape(b)):
+                    seen[k, x, said > 0] = seen.get((k, x, said > 0), 0) + 1
+    assert h.train(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)) == h.shape_odds(seen)
